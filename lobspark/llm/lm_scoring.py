@@ -7,8 +7,9 @@ k the strength of an order,
     arc      (c(hw) + k p(w | h')) / (c(h) + k)
     failure  k / (c(h) + k)            times the weight found at h'
 
-so p(. | h) sums to one; the last state's arcs are the add-one unigram distribution,
-with one more word for all unseen ones. A text is read once from left to right: the
+so p(. | h) sums to one. The last state's arcs are unigrams with an absolute discount D =
+n1 / (n1 + 2 n2) (n1, n2: words seen once and twice): (c - D) / N for a seen word, and
+the discounted mass D V / N for the one class of all unseen words. A text is read once from left to right: the
 carried state is the longest seen context, failure arcs are followed until an arc for
 the word exists, and log10 weights add up.
 
@@ -38,6 +39,18 @@ from lobspark.llm.common import partitions
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
+def discount(once: int, twice: int) -> float:
+    """Taken from every seen word's count; held away from 0 and 1 where counts are few."""
+    return min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def unigram(count, total: int, types: int, d: float):
+    """Probability of a word by its training count; 0 is the class of unseen words."""
+    if not total:
+        return count * 0 + 1.0
+    return np.where(count > 0, count - d, d * types) / total
+
+
 class BackoffAutomaton:
     """The automaton for a corpus that fits in memory: explicit states, arcs and failure arcs."""
 
@@ -55,7 +68,9 @@ class BackoffAutomaton:
         count[("<begin>",)] = len(texts)
         self.count = count
         self.total = sum(c for g, c in count.items() if len(g) == 1 and g != ("<begin>",))
-        self.types = sum(1 for g in count if len(g) == 1 and g != ("<begin>",))
+        seen = [c for g, c in count.items() if len(g) == 1 and g != ("<begin>",)]
+        self.types = len(seen)
+        self.discount = discount(seen.count(1), seen.count(2))
 
     def failure(self, state: tuple) -> tuple[tuple, float]:
         k = self.strengths[len(state) - 1]
@@ -64,7 +79,7 @@ class BackoffAutomaton:
     def arc(self, state: tuple, word: str) -> float | None:
         seen = self.count.get((*state, word), 0)
         if not state:
-            return (seen + 1) / (self.total + self.types + 1)
+            return unigram(seen, self.total, self.types, self.discount)
         if not seen:
             return None
         k = self.strengths[len(state) - 1]
@@ -111,14 +126,19 @@ def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return grams, first, depth if n else np.empty(0, np.int64)
 
 
-def _keys(grams: list[np.ndarray], first: np.ndarray, learned: np.ndarray, k: int):
-    """Sorted distinct n-grams of an order, positions' indexes among them, their training counts."""
-    if k and not len(grams[k]):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, where = np.unique(grams[k], return_inverse=True)
+def _keys(grams: list[np.ndarray], first: np.ndarray, learned: np.ndarray, k: int, buckets: int):
+    """Sorted distinct n-grams of an order, positions' indexes among them, their training counts.
+
+    Words are told apart by 64 bits. Longer n-grams are by 32 bits within their bucket: as
+    buckets hold a bounded number of n-grams, about one in two thousand shares its count.
+    """
+    names = grams[k]
+    if k:
+        names = (tk.bucket_of(names, buckets) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+    keys, where = np.unique(names, return_inverse=True)
     weights = np.repeat(learned, np.diff(first)).astype(np.float64)
     counts = np.bincount(where, weights, len(keys)).astype(np.int64)
-    if k and len(keys) and keys[0] == 0:
+    if k and len(keys) and keys[0] == 0:  # positions without an n-gram of this order
         counts[0] = 0
     return keys, where, counts
 
@@ -131,7 +151,7 @@ def score_texts(
     docs: DataFrame,
     held_out,
     *,
-    strengths: tuple[float, ...] = (8.0,),
+    strengths: tuple[float, ...] = (1024.0, 16.0),
     partition_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, train_types, base_score, score) of every row.
@@ -152,8 +172,9 @@ def score_texts(
         grams, first, _ = _grams(table, order)
         learned, out = _learned(table), []
         for k in range(order):
-            keys, _, counts = _keys(grams, first, learned, k)
-            edges = np.searchsorted(tk.bucket_of(keys, n), np.arange(n + 1))
+            keys, _, counts = _keys(grams, first, learned, k, n)
+            edges = np.searchsorted(keys >> np.uint64(32) if k else tk.bucket_of(keys, n), np.arange(n + 1))
+            keys = keys.astype(np.uint32) if k else keys
             for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if j > i or not k:
                     out.append((table["part"][0].as_py(), b, k, keys[i:j].tobytes(), *tk.pack(counts[i:j])))
@@ -163,7 +184,8 @@ def score_texts(
     sent_types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        kind = np.uint32 if table["k"][0].as_py() else np.uint64
+        keys = [np.frombuffer(x, kind) for x in table["keys"].to_pylist()]
         counts = [tk.unpack(*x) for x in zip(table["small"].to_pylist(), table["large"].to_pylist(), strict=True)]
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
@@ -175,8 +197,8 @@ def score_texts(
         rows = len(keys)
         return pa.Table.from_arrays(
             [table["part"], table["bucket"], table["k"], pa.array([x for x, _ in back], pa.binary()), pa.array([x for _, x in back], pa.binary()),
-             pa.array([int(words.sum())] * rows, pa.int64()), pa.array([int((words > 0).sum())] * rows, pa.int64())],
-            names=["part", "bucket", "k", "small", "large", "n", "v"],
+             *[pa.array([int(x.sum())] * rows, pa.int64()) for x in (words, words > 0, words == 1, words == 2)]],
+            names=["part", "bucket", "k", "small", "large", "n", "v", "n1", "n2"],
         )
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -184,11 +206,11 @@ def score_texts(
         learned = _learned(table)
         told = answers.sort_by([("k", "ascending"), ("bucket", "ascending")])
         k_of = told["k"].to_numpy()
-        n_all, v_all = (sum(told[c].to_pylist()) for c in ("n", "v"))
+        n_all, v_all, once, twice = (sum(told[c].to_pylist()) for c in ("n", "v", "n1", "n2"))
         small, large = told["small"].to_pylist(), told["large"].to_pylist()
         seen = []
         for k in range(order):
-            _, where, _ = _keys(grams, first, learned, k)
+            _, where, _ = _keys(grams, first, learned, k, n)
             rows = np.flatnonzero(k_of == k)
             total = np.concatenate([tk.unpack(small[i], large[i]) for i in rows]) if len(rows) else np.empty(0, np.int64)
             c = total[where]
@@ -197,7 +219,7 @@ def score_texts(
             seen.append(c)
         # every position but BEGIN is a step; the carried state is the longest seen context before it
         base = (seen[0] + 1) / (n_all + v_all + 1)
-        arcs = [base]
+        arcs = [unigram(seen[0], n_all, v_all, discount(once, twice))]
         fails: list[np.ndarray] = []
         for k, s in enumerate(strengths, 1):
             context = np.zeros(len(base))
@@ -213,7 +235,7 @@ def score_texts(
             log[taken] += np.log10(arcs[k][taken])
             todo &= ~taken
             log[todo] += np.log10(fails[k - 1][todo])
-        log[todo] += np.log10(base[todo])
+        log[todo] += np.log10(arcs[0][todo])
         step = depth > 0
         known = ((seen[0] > 0) & step).astype(np.int64)
         add = lambda x: np.add.reduceat(x, first[:-1])
@@ -228,7 +250,7 @@ def score_texts(
         send, "part int, bucket int, k int, keys binary, small binary, large binary"
     )
     answers = sent.groupBy("bucket", "k").applyInArrow(
-        answer, "part int, bucket int, k int, small binary, large binary, n long, v long"
+        answer, "part int, bucket int, k int, small binary, large binary, n long, v long, n1 long, n2 long"
     )
     both = dealt.groupBy("part").cogroup(answers.groupBy("part"))
     return both.applyInArrow(
