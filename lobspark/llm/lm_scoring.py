@@ -152,7 +152,7 @@ def score_texts(
     held_out,
     *,
     strengths: tuple[float, ...] = (1024.0, 16.0),
-    partition_bytes: int = 16 << 20,
+    partition_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, train_types, base_score, score) of every row.
 
