@@ -45,8 +45,8 @@ class _Node:
 
 def _lookup(values: dict[int, int], size: int, at: Column) -> Column:
     """values[at], null where there is none."""
-    listed = [F.lit(values.get(i)).cast("long") for i in range(size)]
-    return F.get(F.array(*listed), at)
+    listed = ", ".join(f"{values[i]}L" if i in values else "CAST(NULL AS BIGINT)" for i in range(size))
+    return F.get(F.expr(f"array({listed})"), at)
 
 
 def _k1(dims: dict[int, int], size: int, node: Column) -> Column:
