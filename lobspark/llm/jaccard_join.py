@@ -79,7 +79,7 @@ def _table(columns: dict) -> pa.Table:
     return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x[0], x[1]) for x in columns.values()], names=list(columns))
 
 
-def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 16 << 20) -> DataFrame:
+def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8 << 20) -> DataFrame:
     """One row a row of docs: (doc_id, row_key, node, n_shingles, keys, places, sizes, members).
 
     keys are prefix shingles that other documents have as well, places their positions in
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "m_a", "m_b").mapInArrow(check, "a long, b long")
 
 
-def similar(docs: DataFrame, *, n: int = 5, percent: int = 80, partition_bytes: int = 16 << 20) -> DataFrame:
+def similar(docs: DataFrame, *, n: int = 5, percent: int = 80, partition_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, row_key, n_shingles, component_id, keeper) of every row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their n-word shingle
