@@ -90,6 +90,7 @@ def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8
     row_key = F.xxhash64("doc_id", "text")
     dealt = docs.select("doc_id", "text", row_key.alias("row_key"), F.pmod(row_key, F.lit(parts)).cast("int").alias("part"))
 
+    @tk.frugal
     def send(table: pa.Table) -> pa.Table:
         keys, _, counts = _posts(*shingles(table["text"], n), parts)
         edges = np.searchsorted(keys >> np.uint64(32), np.arange(parts + 1))
@@ -101,6 +102,7 @@ def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8
         part, bucket, low, small, large = zip(*rows, strict=True) if rows else ((),) * 5
         return _table({"part": (part, pa.int32()), "bucket": (bucket, pa.int32()), "keys": (low, pa.binary()), "small": (small, pa.binary()), "large": (large, pa.binary())})
 
+    @tk.frugal
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
         counts = [tk.unpack(*x) for x in zip(table["small"].to_pylist(), table["large"].to_pylist(), strict=True)]
@@ -112,6 +114,7 @@ def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8
             [table["part"], table["bucket"], pa.array(small, pa.binary()), pa.array(large, pa.binary())], names=["part", "bucket", "small", "large"]
         )
 
+    @tk.frugal
     def order(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = len(table)
         doc, key = shingles(table["text"], n)
@@ -178,6 +181,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], ["a", "b"])
+        tk.release()
 
     return both.select("a", "b", "m_a", "m_b").mapInArrow(check, "a long, b long")
 

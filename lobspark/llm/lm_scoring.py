@@ -168,6 +168,7 @@ def score_texts(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"),
     )
 
+    @tk.frugal
     def send(table: pa.Table) -> pa.Table:
         grams, first, _ = _grams(table, order)
         learned, out = _learned(table), []
@@ -183,6 +184,7 @@ def score_texts(
     sent_names = ["part", "bucket", "k", "keys", "small", "large"]
     sent_types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
+    @tk.frugal
     def answer(table: pa.Table) -> pa.Table:
         kind = np.uint32 if table["k"][0].as_py() else np.uint64
         keys = [np.frombuffer(x, kind) for x in table["keys"].to_pylist()]
@@ -201,6 +203,7 @@ def score_texts(
             names=["part", "bucket", "k", "small", "large", "n", "v", "n1", "n2"],
         )
 
+    @tk.frugal
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
         grams, first, depth = _grams(table, order)
         learned = _learned(table)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lobspark.llm.tokens import release
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs below the least piece score, as the library has it.
@@ -223,6 +225,7 @@ def encode(docs: DataFrame, *, model_path: str = MODEL, column: str = "text", gi
                 rows = batch.slice(i, 256)
                 ids = [None if t is None else sp.encode(t) for t in rows[column].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+        release()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = MaxPlusScan(model) if unigram else None
@@ -311,6 +314,7 @@ def decode(docs: DataFrame, *, model_path: str = MODEL, column: str = "ids") ->
                 rows = batch.slice(i, 256)
                 text = [None if x is None else sp.decode(x) for x in rows[column].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(text, pa.string())], names=[*names, "decoded"])
+        release()
 
     return docs.mapInArrow(run, f"{typed}, decoded string")
 

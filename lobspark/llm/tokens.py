@@ -7,6 +7,9 @@ share one with a chance of about n**2 / 2**65.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -109,3 +112,25 @@ def unpack(small: bytes, large: bytes) -> np.ndarray:
     if large:
         out[out == 255] = np.frombuffer(large, np.int64)
     return out
+
+
+def release() -> None:
+    """Give freed memory back, so that idle workers do not hold what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(work):
+    """work on Arrow tables, then release(). The parameters stay visible to Spark."""
+
+    @functools.wraps(work)
+    def run(*tables):
+        try:
+            return work(*tables)
+        finally:
+            release()
+
+    return run
