@@ -8,7 +8,6 @@ share one with a chance of about n**2 / 2**65.
 from __future__ import annotations
 
 import ctypes
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -124,13 +123,18 @@ def release() -> None:
 
 
 def frugal(work):
-    """work on Arrow tables, then release(). The parameters stay visible to Spark."""
+    """work on one Arrow table or two, then release()."""
 
-    @functools.wraps(work)
-    def run(*tables):
+    def one(table):
         try:
-            return work(*tables)
+            return work(table)
         finally:
             release()
 
-    return run
+    def two(left, right):
+        try:
+            return work(left, right)
+        finally:
+            release()
+
+    return one if work.__code__.co_argcount == 1 else two
