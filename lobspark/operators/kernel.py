@@ -111,6 +111,8 @@ class TradeMatcher:
             left -= take
             if chunks[0][1] <= EPS:
                 chunks.popleft()
+        if chunks is not None and not chunks:
+            del self.open[(is_bid, price)]
         return wanted - left
 
     def _prune(self, ts: int) -> None:
