@@ -6,8 +6,8 @@ header, and the pieces are concatenated by array functions. Template:
     <|start|>ROLE<|text|>TEXT<|sep|>TEXT<|end|><|start|>...
 
 ``<|sep|>`` divides the turns of a merged run, so every turn can be read back. Control
-strings inside roles and texts are escaped with a backslash before their first
-character, and a backslash is doubled, so unescaping is exact.
+strings inside roles and texts are broken up by a backslash after their first character,
+and a backslash is doubled, so none is left and unescaping is exact.
 
 Defined results: null text and null role are empty strings; turns sort by turn (null
 first), then role, then text, so ties and repeated rows keep a fixed order and all
@@ -29,7 +29,7 @@ ESCAPED = ["\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"
 
 def escape(c: Column) -> Column:
     for s in ESCAPED:
-        c = F.replace(c, F.lit(s), F.lit(chr(92) + s))
+        c = F.replace(c, F.lit(s), F.lit(s[:1] + "\\" + s[1:] if len(s) > 1 else s * 2))
     return c
 
 

@@ -12,7 +12,8 @@ state, its transfer matrix is 1 x 1, and chunks are independent and exact.
 
 Defined results: a null text has null ids and a null decoded text; an empty text has no
 ids; a text without a cutting place stays one chunk; repeated rows are encoded each;
-further columns stay; an empty table gives an empty table.
+further columns stay, but those named like a result are replaced; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -215,6 +216,7 @@ def encode(docs: DataFrame, *, model_path: str = MODEL, column: str = "text", gi
     unigram = is_unigram(model)
     if not unigram:
         check_cuts(model)
+    docs = docs.drop("ids")
     names, schema = docs.columns, docs.schema
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -304,6 +306,7 @@ def _scan(parts: DataFrame, model: bytes) -> DataFrame:
 def decode(docs: DataFrame, *, model_path: str = MODEL, column: str = "ids") -> DataFrame:
     """docs with ``decoded``: the text of the ids. Exact but for U+2581, which is the model's own space."""
     model = read_model(model_path)
+    docs = docs.drop("decoded")
     names = docs.columns
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

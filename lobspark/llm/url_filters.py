@@ -8,7 +8,7 @@ intervals of one domain are disjoint, so a capture meets at most one of each dom
 Defined results: a null or unparsable url has no host and is never blocked; a null fetch
 time is never inside an interval; several entries of one domain at the same time count
 as one, removal winning; entries with a null domain or time are left out; repeated
-captures are each judged; further columns stay; empty tables give empty or unblocked rows.
+captures are each judged; further columns stay, but those named like a result are replaced; empty tables give empty or unblocked rows.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetch
     Distinct (host, time) pairs are judged, so a hot host is looked up once a fetch
     time; the verdicts then join back. Only blocked pairs travel.
     """
-    hosted = captures.withColumn("host", host(F.col(url)))
+    hosted = captures.drop("blocked", "blocked_by", "reason").withColumn("host", host(F.col(url)))
     pairs = hosted.where("host is not null").select("host", F.col(fetched).alias("__at")).distinct()
     looked = pairs.withColumn("domain", F.explode(domains(F.col("host"))))
     valid = intervals(entries)
