@@ -227,7 +227,8 @@ def similar(docs: DataFrame, *, n: int = 5, percent: int = 80, partition_bytes:
         F.min("doc_id").alias("least"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("head"),
     )
-    out = placed.join(heads, "label", "left")
+    # written first, so that the join deals both sides anew and Spark can split a hot label
+    out = placed.join(cut(heads, "heads"), "label", "left")
     return out.select(
         "doc_id", "row_key", "n_shingles",
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
