@@ -104,3 +104,24 @@ def fifo_left(adds: DataFrame, removed: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     filled = adds.withColumn("upto", F.sum("size").over(w)).join(removed, KEYS, "left").fillna(0.0, ["removed"])
     return filled.withColumn("left", F.greatest(F.lit(0.0), F.least(F.col("size"), F.col("upto") - F.col("removed"))))
+
+
+def aligned_flow(top: DataFrame, mark: str) -> DataFrame:
+    """(symbol, mark, flow): bid less ask differences by price between each mark and the one before it (mark - 1)."""
+    keys = ["symbol", mark, "is_bid", "price"]
+    was = top.select("symbol", (F.col(mark) + 1).alias(mark), "is_bid", "price", F.col("size").alias("was"))
+    both = top.join(was, keys, "full_outer").fillna(0.0, ["size", "was"])
+    gain = F.col("size") - F.col("was")
+    return both.groupBy("symbol", mark).agg(F.sum(F.when(F.col("is_bid"), gain).otherwise(-gain)).alias("flow"))
+
+
+def attribute(drops: DataFrame, traded: DataFrame, bucket: str = "bucket", order: str = "seq") -> DataFrame:
+    """drops with executed and cancelled: a bucket's trades are used up by its drops in their order.
+
+    Consumption in closed form: each drop is an interval of the level's running total, and
+    what of it lies below the traded quantity was executed.
+    """
+    w = Window.partitionBy(*KEYS, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = drops.withColumn("upto", F.sum("drop").over(w)).join(traded, [*KEYS, bucket], "left").fillna(0.0, ["traded"])
+    used = F.greatest(F.lit(0.0), F.least(F.col("drop"), F.col("traded") - (F.col("upto") - F.col("drop"))))
+    return d.withColumn("executed", used).withColumn("cancelled", F.col("drop") - F.col("executed")).drop("upto", "traded")

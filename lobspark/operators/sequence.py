@@ -16,11 +16,18 @@ def gaps(events: DataFrame, *, overlap_allowed: bool = False, by: str = "symbol"
     return d.withColumn("outcome", outcome)
 
 
-def bridge(events: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The first event of each snapshot whose id range covers last_update_id + 1."""
-    s = snapshots.select("symbol", "last_update_id")
+def bridge(events: DataFrame, snapshots: DataFrame, width: int = 1024) -> DataFrame:
+    """The first event of each snapshot whose id range covers last_update_id + 1.
+
+    An event stands in every bin of width ids that it reaches into, so the range condition
+    becomes an equi-join on (symbol, bin) and a symbol's ids are spread over many tasks.
+    """
+    bin_of = lambda c: F.floor(c / width)
     nxt = F.col("last_update_id") + 1
-    hit = events.join(s, "symbol").where((F.col("first_update_id") <= nxt) & (F.col("final_update_id") >= nxt))
+    s = snapshots.select("symbol", "last_update_id", bin_of(nxt).alias("bin")).distinct()
+    reach = F.sequence(bin_of(F.col("first_update_id")), bin_of(F.col("final_update_id")))
+    e = events.where("first_update_id <= final_update_id").withColumn("bin", F.explode(reach))
+    hit = e.join(s, ["symbol", "bin"]).where((F.col("first_update_id") <= nxt) & (F.col("final_update_id") >= nxt))
     return hit.groupBy("symbol", "last_update_id").agg(F.min_by("final_update_id", "seq").alias("bridge_id"), F.min("seq").alias("bridge_seq"))
 
 
@@ -49,3 +56,9 @@ def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def orphans(found: DataFrame, listed: DataFrame, key: str = "file_name") -> DataFrame:
     return found.join(listed, key, "left_anti")
+
+
+def release_order(events: DataFrame, by: str = "symbol") -> DataFrame:
+    """events (ts_ms, kind, arrival_seq) with their position: by time, trades before depth, then arrival."""
+    first = F.when(F.col("kind") == "trade", 0).otherwise(1)
+    return events.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("ts_ms", first, "arrival_seq")))

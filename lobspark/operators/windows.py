@@ -10,15 +10,37 @@ from lobspark.functions.signals import QTY_EPS, signed_qty
 CVD_WINDOWS = {"cvd_5s": 5_000, "cvd_1m": 60_000, "cvd_5m": 300_000}
 
 
-def cvd(trades: DataFrame, windows: dict[str, int] = CVD_WINDOWS, by: str = "symbol") -> DataFrame:
-    """trades with rolling signed-volume sums; a window's lower edge is inclusive."""
+def in_blocks(df: DataFrame, ts: str, reach_ms: int, block_ms: int) -> DataFrame:
+    """df with ``__block`` and ``__own``: time blocks, each with the rows up to reach_ms before it.
+
+    A range window of at most reach_ms, partitioned by the block as well, has the same frames
+    on own rows; so one hot key is many tasks. Rows in a block's last reach_ms stand in the
+    next one too, so blocks much longer than the reach copy little.
+    """
+    if block_ms < reach_ms:
+        raise ValueError("a block must be at least as long as the window's reach")
+    block = F.floor(F.col(ts) / block_ms)
+    own = F.struct(block.alias("block"), F.lit(True).alias("own"))
+    nxt = F.struct((block + 1).alias("block"), F.lit(False).alias("own"))
+    copies = F.when(F.pmod(F.col(ts), F.lit(block_ms)) >= block_ms - reach_ms, F.array(own, nxt)).otherwise(F.array(own))
+    return df.withColumn("__at", F.explode(copies)).withColumns({"__block": F.col("__at.block"), "__own": F.col("__at.own")}).drop("__at")
+
+
+def cvd(trades: DataFrame, windows: dict[str, int] = CVD_WINDOWS, by: str = "symbol", block_ms: int | None = None) -> DataFrame:
+    """trades with rolling signed-volume sums; a window's lower edge is inclusive.
+
+    Symbols are split into time blocks of 64 times the longest window (or block_ms).
+    """
+    reach = max(windows.values())
+    columns = trades.columns
+    trades = in_blocks(trades.where("ts_ms is not null"), "ts_ms", reach, block_ms or 64 * reach)
     signed = signed_qty(F.col("buyer_is_maker"), F.col("qty"))
     signed = F.when(F.abs(signed) > QTY_EPS, signed).otherwise(0.0)
     for name, ms in windows.items():
-        w = Window.partitionBy(by).orderBy("ts_ms").rangeBetween(-ms, 0)
+        w = Window.partitionBy(by, "__block").orderBy("ts_ms").rangeBetween(-ms, 0)
         total = F.sum(signed.cast("decimal(28,9)")).over(w).cast("double")
         trades = trades.withColumn(name, F.when(F.abs(total) <= QTY_EPS, 0.0).otherwise(total))
-    return trades
+    return trades.where("__own").select(*columns, *windows)
 
 
 def buckets(trades: DataFrame, width_ms: int = 100, by: tuple[str, ...] = ("symbol", "is_bid", "price")) -> DataFrame:
@@ -38,6 +60,16 @@ def level_stats(samples: DataFrame, window_ms: int = 60_000) -> DataFrame:
     )
 
 
+def average_bbo(quotes: DataFrame, window_ms: int = 60_000, by: str = "symbol") -> DataFrame:
+    """quotes with the mean of (bid_qty + ask_qty) / 2 over the samples before each; null without any."""
+    w = Window.partitionBy(by, "__block").orderBy("ts_ms").rangeBetween(-window_ms, -1)
+    sample = (F.col("bid_qty") + F.col("ask_qty")) / 2
+    sample = F.when(sample > QTY_EPS, sample)
+    blocks = in_blocks(quotes, "ts_ms", window_ms, 64 * window_ms)
+    out = blocks.withColumns({"n_samples": F.count(sample).over(w), "avg_bbo": F.avg(sample).over(w)})
+    return out.where("__own").drop("__own", "__block")
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, order: list[str], q: float = 0.99, last: int = 20_000) -> DataFrame:
     """Exact nearest-rank quantile of the last samples of each group: index round((n - 1) q) of the sorted values."""
     recent = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]))

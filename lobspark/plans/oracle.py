@@ -91,7 +91,7 @@ select symbol, day, is_bid, price, seq, score from r where r = 1""",
     "dedup_latest": f"select user_id, event_type, event_id, value from (select *, {_FIRST.format(' desc')} from events) where r = 1",
     "dedup_first": f"select user_id, event_type, event_id, value from (select *, {_FIRST.format('')} from events) where r = 1",
     "sequence_gaps": f"with {GAPS} select symbol, seq, coalesce(prev_seen, -1) as prev_seen, outcome from gaps",
-    "bridge_event": f"""with {UPDATES}, s as (select symbol, final_update_id - 4 as last_update_id from updates where seq % 97 = 0)
+    "bridge_event": f"""with {UPDATES}, s as (select distinct symbol, final_update_id - seq % 23 as last_update_id from updates)
 select u.symbol, last_update_id, min(final_update_id) as bridge_id, min(seq) as bridge_seq from updates u join s on s.symbol = u.symbol
 and first_update_id <= last_update_id + 1 and final_update_id >= last_update_id + 1 group by all""",
     "orphan_parts": "select printf('depth-delta_%d_%s_%s_part-%06d.parquet', 0, 'x', 'y', p_partkey) as file_name, p_partkey as part_index from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 48)",
@@ -113,7 +113,7 @@ coalesce(bool_and(p <= 60), false) as passed from r""",
     "object_keys": "select p_partkey, case when p_partkey % 2 = 0 then 'raw/a/b/' || p_partkey else 'raw/bookticker/2026-04-16/' || p_partkey end as object_key from part",
     "event_ids": f"with {UPDATES} select seq, 'binance:coinm:' || symbol || ':' || final_update_id as event_id, coalesce(case when seq % 3 > 0 then prev_final_update_id end, greatest(first_update_id - 1, 0)) as depth_update_pu from updates",
     "clock_offsets": f"with {QUOTES}, o as (select seq, trunc((o_custkey % 9 + 3 - o_custkey % 17) / 2)::bigint as offset_ms from quotes) select seq, offset_ms, greatest(seq + offset_ms, seq + 1) as recv_ms from o",
-    "clock_slew_fold": """with recursive m as (select c_nationkey, floor(c_acctbal)::bigint as m, row_number() over (partition by c_nationkey order by c_custkey) as i from customer where c_custkey % 10 = 0),
+    "clock_slew_fold": """with recursive m as (select c_nationkey, floor(c_acctbal)::bigint as m, row_number() over (partition by c_nationkey order by c_custkey) as i from customer),
 f(k, i, o) as (select distinct c_nationkey, 0::bigint, 0::bigint from m union all
  select k, m.i, o + greatest(-25, least(25, case when round(0.5::double * (m.m - o))::bigint = 0 and m.m <> o then sign(m.m - o)::bigint else round(0.5::double * (m.m - o))::bigint end))
  from f join m on m.c_nationkey = k and m.i = f.i + 1)
@@ -123,4 +123,44 @@ g as (select {_KEYS}, sum(drop_) as removed from changes group by all),
 u as (select a.*, sum(a.size) over (partition by a.symbol, a.is_bid, a.price order by seq) as upto, removed from a join g on g.symbol = a.symbol and g.is_bid = a.is_bid and g.price = a.price)
 select {_KEYS}, seq, greatest(0, least(size, upto - removed)) as "left" from u where least(size, upto - removed) > 0""",
     "counts_by_symbol": f"with {TRADES} select symbol, count(*) as n, max(ts_ms) as last_ms from trades group by 1",
+    "frame_routes": f"with {TRADES} select trade_id, case trade_id % 5 when 0 then 'depth' when 1 then 'quote' when 2 then 'trade' else 'bad' end as kind from trades",
+    "trade_frames": f"with {TRADES} select symbol, trade_id, ts_ms as event_ts_ms, price, qty, buyer_is_maker from trades where kind <> 'error'",
+    "quote_frames": f"with {QUOTES} select symbol, seq as update_id, case when seq % 2 = 1 then seq * 10 - 3 else seq * 10 end as event_ts_ms, bid, bid_qty, ask, ask_qty from quotes",
+    "depth_frames": f"""with {QUOTES} select symbol, l.is_bid, l.price, l.size, seq * 10 - 9 as first_update_id, seq * 10 as final_update_id
+from (select *, unnest([{{'is_bid': true, 'price': bid, 'size': bid_qty}}, {{'is_bid': false, 'price': ask, 'size': ask_qty}}, {{'is_bid': false, 'price': ask + 1, 'size': 0.0::double}}]) as l from quotes) where l.price > 0""",
+    "snapshot_arrays": f"""with {QUOTES} select symbol, seq as last_update_id, (bid > 0)::int + (bid - 1 > 0)::int as n_bids, 1 as n_asks, bid, 0.0::double as second_size, ask_qty as ask_size,
+2::bigint as n_loaded from quotes""",
+    "gate_archive": """with f as (select 'P' || p_partkey % 5 as profile, (p_partkey // 5) % 7 as no from part where not (p_partkey % 5 = 4 and (p_partkey // 5) % 7 = 2))
+select profile, bool_or(no = 0) as bookticker_manifest, bool_or(no = 1) as depth_delta_manifest, bool_or(no = 2) as snapshot_manifest, bool_or(no = 3) as bookticker_part,
+bool_or(no = 4) as depth_delta_part, bool_or(no = 5) as snapshot_part, bool_or(no = 6) as metrics, count(distinct no) = 7 as passed from f group by 1""",
+    "gate_upload": f"""with {TRADES} select user_id as profile, count(*) filter (kind = 'click') as verified, count(*) filter (kind = 'error') as failed,
+count(*) filter (kind = 'click') > 0 and count(*) filter (kind = 'error') = 0 as passed from trades group by 1""",
+    "log_reports": f"""with {QUOTES} select symbol as profile, arg_max(bid_qty / 8, seq) as loss_rate, max(seq)::double as p99_ms, arg_max(o_custkey, seq) as resync_started,
+arg_max(o_custkey, seq) as resync_completed, max(seq) * 2 as signals_emitted from quotes where seq % 3 <> 0 group by 1""",
+    "ntp_times": f"with {TRADES} select trade_id, (trade_id + 3913056000 - 2208988800) * 1000 + ((((trade_id * 2654435761) % 4294967296) * 1000) >> 32) as ms from trades",
+    "avg_bbo_size": f"""with {QUOTES}, w as (select symbol, seq, q.bid_qty, q.ask_qty, datediff('day', date '1970-01-01', o_orderdate::date) as day from quotes q join orders on o_orderkey = seq)
+select symbol, seq, count(*) over o as n_samples, round(avg((bid_qty + ask_qty) / 2) over o, 6) as avg_bbo from w
+window o as (partition by symbol order by day range between 30 preceding and 1 preceding)""",
+    "top5_flow_join": f"""with {MARKS}, r as (select *, row_number() over (partition by symbol, bucket, is_bid order by case when is_bid then -price else price end) as level from at_marks),
+t as (select symbol, bucket, is_bid, price, size from r where level <= 5),
+f as (select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.bucket, b.bucket + 1) as bucket, coalesce(a.is_bid, b.is_bid) as is_bid, coalesce(a.size, 0) - coalesce(b.size, 0) as gain
+  from t a full join t b on a.symbol = b.symbol and a.bucket = b.bucket + 1 and a.is_bid = b.is_bid and a.price = b.price)
+select symbol, bucket, sum(case when is_bid then gain else -gain end) as flow from f where (symbol, bucket) in (select (symbol, bucket) from marks) group by all""",
+    "release_order": f"""with {TRADES}, {QUOTES.strip()}, u as (select symbol, 'trade' as kind, (ts_ms // 3600000) % 500 as ts_ms, trade_id as arrival_seq from trades
+union all select symbol, 'depth', seq % 500, seq from quotes)
+select *, row_number() over (partition by symbol order by ts_ms, kind <> 'trade', arrival_seq) as position from u""",
+    "manifest_rows": """with m as (select l_partkey as k, count(*) as n from lineitem where l_quantity > 48 group by 1), every as (select k from m union select p_partkey from part)
+select every.k as part_index, printf('snapshot_%d_x_y_part-%06d.parquet', every.k * 10, every.k) as file_name, coalesce(n, 0) as row_count, n is not null as uploaded from every left join m on m.k = every.k""",
+    "expired_files": f"""with {QUOTES} select seq, 'metrics-binance-coinm-' || symbol || '-' || strftime(o_orderdate, '%Y-%m-%d') || '.jsonl' as file_name
+from quotes join orders on o_orderkey = seq where o_orderdate::date < date '1997-01-01' - 30""",
+    "jsonl_rows": "select source, count(*) as n_rows from (select source, unnest(string_split(text, chr(10))) as line from documents) where trim(line) <> '' group by 1",
+    "level_age": f"""with {CHANGES}, a as (select {_KEYS}, seq, day, size - was as size from changes where change in ('add', 'increase')),
+g as (select {_KEYS}, sum(drop_) as removed from changes group by all),
+u as (select a.*, sum(a.size) over (partition by a.symbol, a.is_bid, a.price order by seq) as upto, removed from a join g on g.symbol = a.symbol and g.is_bid = a.is_bid and g.price = a.price),
+l as (select symbol, is_bid, greatest(0, 11000 - day) as age, least(size, upto - removed) as rest from u where least(size, upto - removed) > 0)
+select symbol, is_bid, round(sum(rest * age) / sum(rest), 6) as age_days, sum(rest) as queued from l group by all""",
+    "trade_attribution": f"""with {CHANGES}, {TRADES.strip()}, s as (select {_KEYS}, (ts_ms // 86400000) % 7 as bucket, sum(qty::decimal(28,9))::double as traded from trades group by all),
+d as (select {_KEYS}, day % 7 as bucket, seq, drop_, sum(drop_) over (partition by {_KEYS}, day % 7 order by seq) as upto from changes where drop_ > 0),
+e as (select d.*, greatest(0, least(drop_, coalesce(traded, 0) - (upto - drop_))) as executed from d left join s on s.symbol = d.symbol and s.is_bid = d.is_bid and s.price = d.price and s.bucket = d.bucket)
+select {_KEYS}, bucket, seq, round(executed, 6) as executed, round(drop_ - executed, 6) as cancelled from e""",
 }

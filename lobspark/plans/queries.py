@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lobspark.config import Settings
 from lobspark.functions import names, signals
 from lobspark.operators import book, sequence, windows
-from lobspark.plans import gates
+from lobspark.plans import gates, wire_queries
 from lobspark.plans.replay import replay
 from lobspark.plans.views import deltas, quotes, table, trades, updates
 
@@ -158,12 +158,8 @@ def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def bridge_event(spark: SparkSession, d: str) -> DataFrame:
     u = updates(spark, d)
-    snaps = u.where("seq % 97 = 0").select("symbol", (F.col("final_update_id") - 4).alias("last_update_id"))
-    # equal widths make the range an equi-join on the id's bucket, which hashes instead of comparing all pairs
-    keyed = u.withColumn("k", F.floor((F.col("final_update_id") - 1) / 10))
-    s = snaps.withColumn("k", F.floor(F.col("last_update_id") / 10))
-    hit = keyed.join(s, ["symbol", "k"]).where("first_update_id <= last_update_id + 1 and final_update_id >= last_update_id + 1")
-    return hit.groupBy("symbol", "last_update_id").agg(F.min("final_update_id").alias("bridge_id"), F.min("seq").alias("bridge_seq"))
+    snaps = u.select("symbol", (F.col("final_update_id") - F.col("seq") % 23).alias("last_update_id"))
+    return sequence.bridge(u, snaps)
 
 
 def orphan_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +230,7 @@ def clock_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clock_slew_fold(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey % 10 = 0")
+    c = table(spark, d, "customer")
     m = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", F.floor("c_acctbal").cast("bigint").alias("m")))), lambda x: x["m"])
     return c.groupBy("c_nationkey").agg(names.slew(m, alpha=0.5, step=25).alias("offset_ms"))
 
@@ -283,4 +279,4 @@ QUERIES = {
         next_part_index, out_of_order_flags, alarm_m_of_n, counter_increases, gate_all_pass, daily_partition_counts, partition_value_norm,
         object_keys, event_ids, clock_offsets, clock_slew_fold, fifo_queue_closed_form, counts_by_symbol, kernel_replay,
     )
-}
+} | wire_queries.QUERIES

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lobspark.config import Settings
 from lobspark.functions import names
-from lobspark.operators import windows
+from lobspark.operators import book, sequence, windows
 from lobspark.plans import gates
 from lobspark.schemas import DEPTH_DELTA, contract_errors
 from lobspark.sources import archive, feed, frames, legacy
@@ -154,3 +154,39 @@ def test_gates(spark):
     assert {r["profile"]: r["passed"] for r in gates.archive_gate(files).collect()} == {"a": True, "b": False}
     up = spark.createDataFrame([("a", "upload verified x"), ("b", "upload failed y")], "profile string, line string")
     assert {r["profile"]: r["passed"] for r in gates.upload_gate(up).collect()} == {"a": True, "b": False}
+
+
+def test_time_blocks_change_no_window(spark):
+    rows = [("A", i * 700 % 9000, i % 3 == 0, float(i % 5), i) for i in range(60)] + [("B", -50, True, 1.0, 99)]
+    t = spark.createDataFrame(rows, "symbol string, ts_ms long, buyer_is_maker boolean, qty double, trade_id long")
+    few = windows.cvd(t, {"w": 1000}, block_ms=1000).orderBy("trade_id").collect()
+    assert few == windows.cvd(t, {"w": 1000}, block_ms=10**9).orderBy("trade_id").collect()
+    signed = [(s, ts, -q if m else q, i) for s, ts, m, q, i in rows]
+    want = {i: sum(q for s2, t2, q, _ in signed if s2 == s and ts - 1000 <= t2 <= ts) for s, ts, _, i in signed}
+    assert {r["trade_id"]: r["w"] for r in few} == want
+
+
+def test_a_block_must_hold_the_reach(spark):
+    with pytest.raises(ValueError):
+        windows.in_blocks(spark.range(1).withColumnRenamed("id", "ts_ms"), "ts_ms", 10, 5)
+
+
+def test_bridge_bins_find_what_the_range_finds(spark):
+    ev = [("A", i, 10 * i - 9, 10 * i, 10 * i - 10) for i in range(1, 30)] + [("A", 31, 1, 500, 0)]
+    e = spark.createDataFrame(ev, "symbol string, seq long, first_update_id long, final_update_id long, prev_final_update_id long")
+    s = spark.createDataFrame([("A", x) for x in (0, 9, 10, 155, 499, 500, 900)], "symbol string, last_update_id long")
+    want = {}
+    for x in (0, 9, 10, 155, 499, 500, 900):
+        hits = [(q, z) for _, q, a, z, _ in ev if a <= x + 1 <= z]
+        if hits:
+            want[x] = min(hits)[::-1]
+    for width in (7, 64, 1024):
+        got = {r["last_update_id"]: (r["bridge_id"], r["bridge_seq"]) for r in sequence.bridge(e, s, width).collect()}
+        assert got == want
+
+
+def test_attribution_uses_trades_up_in_order(spark):
+    d = spark.createDataFrame([("A", True, 1.0, 0, 1, 4.0), ("A", True, 1.0, 0, 2, 4.0), ("A", True, 1.0, 0, 3, 1.0), ("A", False, 1.0, 0, 4, 2.0)], "symbol string, is_bid boolean, price double, bucket long, seq long, drop double")
+    t = spark.createDataFrame([("A", True, 1.0, 0, 6.0)], "symbol string, is_bid boolean, price double, bucket long, traded double")
+    got = {r["seq"]: (r["executed"], r["cancelled"]) for r in book.attribute(d, t).collect()}
+    assert got == {1: (4.0, 0.0), 2: (2.0, 2.0), 3: (0.0, 1.0), 4: (0.0, 2.0)}
