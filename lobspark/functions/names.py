@@ -33,9 +33,10 @@ def relative_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\\", "/")
 
 
-def object_key(prefix: Column, dataset: str, date: Column, name: Column) -> Column:
-    """Relative paths pass through; bare names get the old layout dataset/date/name."""
-    tail = F.when(F.contains(name, F.lit("/")), relative_path(name)).otherwise(F.concat_ws("/", F.lit(dataset), date, name))
+def object_key(prefix: Column, exchange: Column, symbol: Column, date: Column, name: Column) -> Column:
+    """Relative paths pass through; bare names go to exchange=/symbol=/date=."""
+    place = F.format_string("exchange=%s/symbol=%s/date=%s/%s", exchange, symbol, date, name)
+    tail = F.when(F.contains(relative_path(name), F.lit("/")), relative_path(name)).otherwise(place)
     return F.when(prefix == "", tail).otherwise(F.concat_ws("/", F.regexp_replace(prefix, "/+$", ""), tail))
 
 
@@ -73,7 +74,7 @@ def received_at(recv_ms: Column, offset_ms: Column, event_ts_ms: Column) -> Colu
     return F.greatest(recv_ms + offset_ms, event_ts_ms)
 
 
-def slew(measures: Column, *, start: int = 0, alpha: float = 0.5, step: int = 25) -> Column:
+def slew(measures: Column, *, start: int = 0, alpha: float = 0.25, step: int = 25) -> Column:
     """Running clock offset after an array of measures: bounded steps, at least 1 when off."""
 
     def move(now: Column, m: Column) -> Column:

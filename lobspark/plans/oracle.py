@@ -110,7 +110,7 @@ select count(*) as profiles, count(*) > 0 as loss_ok, coalesce(bool_and(p <= 60)
 coalesce(bool_and(p <= 60), false) as passed from r""",
     "daily_partition_counts": f"with {TRADES} select symbol, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') as date, count(*) as n from trades group by all",
     "partition_value_norm": f"with p as (select p_partkey, {_NORM} as value from part) select p_partkey, value, printf('bookticker_%d_%s_%s_part-%06d.parquet', p_partkey * 1000, 'binance', value, p_partkey) as file_name, p_partkey as part_index from p",
-    "object_keys": "select p_partkey, case when p_partkey % 2 = 0 then 'raw/a/b/' || p_partkey else 'raw/bookticker/2026-04-16/' || p_partkey end as object_key from part",
+    "object_keys": "select p_partkey, case when p_partkey % 2 = 0 then 'raw/a/b/' || p_partkey else 'raw/exchange=binance/symbol=btcusdt/date=2026-04-16/' || p_partkey end as object_key from part",
     "event_ids": f"with {UPDATES} select seq, 'binance:coinm:' || symbol || ':' || final_update_id as event_id, coalesce(case when seq % 3 > 0 then prev_final_update_id end, greatest(first_update_id - 1, 0)) as depth_update_pu from updates",
     "clock_offsets": f"with {QUOTES}, o as (select seq, trunc((o_custkey % 9 + 3 - o_custkey % 17) / 2)::bigint as offset_ms from quotes) select seq, offset_ms, greatest(seq + offset_ms, seq + 1) as recv_ms from o",
     "clock_slew_fold": """with recursive m as (select c_nationkey, floor(c_acctbal)::bigint as m, row_number() over (partition by c_nationkey order by c_custkey) as i from customer),

@@ -213,7 +213,7 @@ def partition_value_norm(spark: SparkSession, d: str) -> DataFrame:
 def object_keys(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("a\\b/"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
-    return p.select("p_partkey", names.object_key(F.lit("raw/"), "bookticker", F.lit("2026-04-16"), name).alias("object_key"))
+    return p.select("p_partkey", names.object_key(F.lit("raw/"), F.lit("binance"), F.lit("btcusdt"), F.lit("2026-04-16"), name).alias("object_key"))
 
 
 def event_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,8 @@ Files are listed and moved through Hadoop's file system, so any store works.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,9 +67,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     return m.select(F.explode("parts").alias("p")).select("p.*")
 
 
-def save_manifest(spark: SparkSession, path: str, date_key: str, rows: DataFrame) -> None:
-    """Write beside, then rename: readers see the old or the new manifest."""
-    listed = [r.asDict() for r in rows.select("part_index", "file_name", "row_count", "uploaded").orderBy("part_index").collect()]
+def put_manifest(spark: SparkSession, path: str, date_key: str, rows: list[dict]) -> None:
+    """Write beside, then rename over it: readers see the old or the new manifest."""
+    listed = sorted(rows, key=lambda r: r["part_index"])
     nxt = max([r["part_index"] for r in listed], default=0) + 1
     text = json.dumps({"schema_version": 1, "date_key": date_key, "next_part_index": nxt, "parts": listed})
     fs, p, of = _fs(spark, path)
@@ -75,8 +77,16 @@ def save_manifest(spark: SparkSession, path: str, date_key: str, rows: DataFrame
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), over)
+
+
+def save_manifest(spark: SparkSession, path: str, date_key: str, rows: DataFrame) -> None:
+    """The manifest of one symbol and day: a row a part."""
+    put_manifest(spark, path, date_key, [r.asDict() for r in rows.select("part_index", "file_name", "row_count", "uploaded").collect()])
 
 
 def reconcile(found: DataFrame, manifest: DataFrame | None) -> DataFrame:
@@ -144,28 +154,84 @@ def prune(spark: SparkSession, path: str, today: date, days: int) -> list[str]:
     return sorted(set(gone))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def copy_verified(spark: SparkSession, source: str, target: str) -> int:
+    """Copy a file to any store and compare sizes; returns the bytes."""
+    src_fs, src, _ = _fs(spark, source)
+    dst_fs, dst, _ = _fs(spark, target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src_fs, src, dst_fs, dst, False, True, spark._jsc.hadoopConfiguration())
+    size = src_fs.getFileStatus(src).getLen()
+    if dst_fs.getFileStatus(dst).getLen() != size:
+        raise OSError(f"{target}: sizes differ after the copy")
+    return size
+
+
+def day_dir(top: str, exchange: str, symbol: str, date_key: str) -> str:
+    clean = lambda v: re.sub(r"[^a-z0-9_\-]", "_", v.strip().lower()) or "unknown"
+    return f"{top}/exchange={clean(exchange)}/symbol={clean(symbol)}/date={date_key}"
+
+
+def spool(df: DataFrame, home: str, dataset: str, exchange: str, symbol: str, date_key: str, ts: str, *, order: str | None = None, rows_per_file: int = 10_000) -> int:
+    """Rows of one symbol and day as named parts after those there are, listed in the manifest; returns how many.
+
+    Spark writes the files beside; each is renamed into place with the time of its first
+    row. Parts whose renaming is not followed by the manifest are found by ``reconcile``.
+    """
+    spark, order, staged = df.sparkSession, order or ts, f"{home}/staged-{uuid.uuid4().hex}"
+    df.repartitionByRange(order).sortWithinPartitions(order).write.option("maxRecordsPerFile", rows_per_file).parquet(staged)
+    files = spark.read.schema(df.schema).parquet(staged).select(F.col(ts).alias("ts"), F.col(order).alias("at"), F.col("_metadata.file_path").alias("path"))
+    files = files.groupBy("path").agg(F.min_by("ts", "at").alias("start"), F.count("*").alias("n")).orderBy("path").collect()
+    manifest = f"{home}/{dataset}_manifest.json"
+    rows = [r.asDict() for r in reconcile(parts(spark, home, dataset), read_manifest(spark, manifest)).collect()]
+    first = max([r["part_index"] for r in rows], default=0) + 1
+    fs, _, of = _fs(spark, home)
+    for i, f in enumerate(files, first):
+        name = f"{dataset}_{f['start']}_{exchange}_{symbol}_part-{i:06d}.parquet"
+        if not fs.rename(of(f["path"]), of(f"{home}/{name}")):
+            raise OSError(f"{name}: could not be put in place")
+        rows.append({"part_index": i, "file_name": name, "row_count": f["n"], "uploaded": False})
+    put_manifest(spark, manifest, date_key, rows)
+    remove(spark, staged)
+    return len(files)
+
+
+def clean_unfinished(spark: SparkSession, home: str, dataset: str) -> list[str]:
+    """Delete parts that a stopped writer left unfinished; returns their names."""
+    fs, _, of = _fs(spark, home)
+    gone = []
+    for status in fs.globStatus(of(f"{home}/{dataset}*part-*.tmp.parquet")) or []:
+        fs.delete(status.getPath(), False)
+        gone.append(status.getPath().getName())
+    return sorted(gone)
+
+
 def upload_day(spark: SparkSession, path: str, manifest_path: str, dataset: str, date_key: str, target: str, *, delete: bool = False) -> int:
-    """Copy a day's parts in order of index, check sizes, mark them, then delete if asked. A listed part that is missing is an error."""
-    known = reconcile(parts(spark, path, dataset), read_manifest(spark, manifest_path)).orderBy("part_index").collect()
-    here = {r["file_name"]: r for r in parts(spark, path, dataset).collect()}
-    rows, done = [r.asDict() for r in known], 0
-    schema = "part_index long, file_name string, row_count long, uploaded boolean"
+    """Copy a day's parts to the folder target in order of index, check sizes, mark them, then delete if asked.
+
+    A listed part that is missing is an error. Returns the number of parts copied.
+    """
+    found = parts(spark, path, dataset)
+    rows = [r.asDict() for r in reconcile(found, read_manifest(spark, manifest_path)).orderBy("part_index").collect()]
+    here, done = {r["file_name"]: r["path"] for r in found.collect()}, 0
     for r in rows:
         if not r["uploaded"]:
             if r["file_name"] not in here:
                 raise FileNotFoundError(r["file_name"])
-            src_fs, src, of = _fs(spark, here[r["file_name"]]["path"])
-            dst_fs, dst, _ = _fs(spark, f"{target}/{dataset}/{date_key}/{r['file_name']}")
-            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src_fs, src, dst_fs, dst, False, True, spark._jsc.hadoopConfiguration())
-            if dst_fs.getFileStatus(dst).getLen() != here[r["file_name"]]["bytes"]:
-                raise OSError(f"{r['file_name']}: sizes differ after the copy")
+            copy_verified(spark, here[r["file_name"]], f"{target}/{r['file_name']}")
             r["uploaded"] = True
             done += 1
-            save_manifest(spark, manifest_path, date_key, spark.createDataFrame(rows, schema))
+            put_manifest(spark, manifest_path, date_key, rows)
         if delete and r["file_name"] in here:
-            fs, p, _ = _fs(spark, here[r["file_name"]]["path"])
-            fs.delete(p, False)
+            remove(spark, here[r["file_name"]])
     if delete and all(r["uploaded"] for r in rows):
-        fs, p, _ = _fs(spark, manifest_path)
-        fs.delete(p, False)
+        remove(spark, manifest_path)
     return done
