@@ -67,21 +67,27 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     return m.select(F.explode("parts").alias("p")).select("p.*")
 
 
+def replace(spark: SparkSession, source: str, path: str) -> None:
+    """Rename source over path in one step."""
+    fs, p, of = _fs(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(of(source)), fs.makeQualified(p), over)
+
+
 def put_manifest(spark: SparkSession, path: str, date_key: str, rows: list[dict]) -> None:
     """Write beside, then rename over it: readers see the old or the new manifest."""
     listed = sorted(rows, key=lambda r: r["part_index"])
     nxt = max([r["part_index"] for r in listed], default=0) + 1
     text = json.dumps({"schema_version": 1, "date_key": date_key, "next_part_index": nxt, "parts": listed})
-    fs, p, of = _fs(spark, path)
-    tmp = of(f"{path}.tmp")
-    out = fs.create(tmp, True)
+    fs, _, of = _fs(spark, path)
+    out = fs.create(of(f"{path}.tmp"), True)
     out.write(bytearray(text.encode()))
     out.close()
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    kind = getattr(hadoop, "Options$Rename")
-    over = spark.sparkContext._gateway.new_array(kind, 1)
-    over[0] = kind.OVERWRITE
-    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), over)
+    replace(spark, f"{path}.tmp", path)
 
 
 def save_manifest(spark: SparkSession, path: str, date_key: str, rows: DataFrame) -> None:

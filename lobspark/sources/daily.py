@@ -37,7 +37,8 @@ def export_metrics(signals: DataFrame, settings: Settings) -> list[str]:
     """Signals of one instrument appended to its line file of each day; returns the paths.
 
     Spark writes the lines; the files of a day are then strung together as bytes, the old
-    content first, and renamed into place.
+    content first, and renamed into place. Appends: exporting the same signals again
+    repeats their lines.
     """
     spark = signals.sparkSession
     staged = f"{settings.metrics_dir}/staged-{uuid.uuid4().hex}"
@@ -54,8 +55,7 @@ def export_metrics(signals: DataFrame, settings: Settings) -> list[str]:
             io.copyBytes(source, out, conf, False)
             source.close()
         out.close()
-        fs.delete(of(path), False)
-        fs.rename(of(f"{path}.tmp"), of(path))
+        archive.replace(spark, f"{path}.tmp", path)
         done.append(path)
     fs.delete(top, True)
     return done
