@@ -33,7 +33,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs below the least piece score, as the library has it.
 UNKNOWN_PENALTY = 10.0
-_CUT = re.compile(r"(?<=[^ ]) ")
+#: A chunk is more than the space it begins with (the library encodes an empty rest to nothing),
+#: and U+2581 before a space is a space to the model.
+_CUT = re.compile(rf"(?<=[^ {SPACE}]) (?!\Z)")
 
 
 @lru_cache(maxsize=4)

@@ -39,6 +39,14 @@ def test_giant_texts_match_the_library(spark, library):
     assert sc.round_trip(d.where("false")).count() == 0
 
 
+def test_giant_text_that_ends_in_one_space_at_the_cut(spark, library):
+    rows = ["aaa " + "b" * 70_000 + " ", "c" * 70_000 + " ", "c" * 70_000 + "  ", "word " * 20_000, "d" * 70_000 + "▁ ▁ word"]
+    assert sc.split("aaa bbb ", 5) == ["aaa bbb "] and sc.split("word▁ ▁ word", 3) == ["word▁ ▁ word"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in sc.round_trip(d).collect():
+        assert r["ids"] == library.encode(rows[r["doc_id"]]) and r["exact"]
+
+
 def test_scan_matches_the_library(unigram):
     model = sc.read_model(unigram)
     sp, scan = sentencepiece.SentencePieceProcessor(model_proto=model), sc.MaxPlusScan(model)
