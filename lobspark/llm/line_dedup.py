@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import SPACES, bind
+from lobspark.llm.common import SPACE_RUN, SPACES, bind, cut
 
 SPREAD = 31
+#: Words of an anchor, and one in how many of them is an anchor by its hash.
+GRAM, RARE = 16, 10
 
 
 def line_hash(line: Column) -> Column:
@@ -108,10 +110,135 @@ def dedup(docs: DataFrame, *, every: int = 3, long_words: int = 50) -> DataFrame
     return out.withColumn("removed_chars", removed).drop("__key", "__told", "__gone", "__c", "__left")
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE_RUN), lambda x: x != "")
+
+
+def _gram_hashes(ws: Column) -> Column:
+    """array<long>: the hash of the GRAM words from each word on; the last GRAM - 1 are of no use."""
+    out, step = F.transform(ws, lambda x: F.xxhash64(x)), 1
+    while step < GRAM:
+        out = bind(out, lambda h, step=step: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))))
+        step *= 2
+    return out
+
+
+def _between(at: Column, first: int, last: int) -> Column:
+    """Positions at[k] + first .. at[k + 1] + last for each neighbouring pair of at."""
+
+    def gap(k: Column) -> Column:
+        a, b = F.get(at, k) + first, F.get(at, k + 1) + last
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - 2), gap))
+
+
+def _anchors(text: Column, n: int) -> Column:
+    """array<struct<pos, h>>: GRAM-word anchors, at least one in every n words.
+
+    An anchor's hash is 0 by RARE; or none of these is in the n words that end with it. So what n words
+    hold decides which anchors of the first kind are among them, and if none is, that their last is one.
+    """
+    reach = n - GRAM + 1
+
+    def choose(h: Column) -> Column:
+        grams = F.size(h) - GRAM + 1
+        own = F.filter(F.sequence(F.lit(0), grams - 1), lambda i: F.get(h, i) % RARE == 0)
+        edged = lambda own: F.concat(F.array(F.lit(-1)), own, F.array(grams))
+        spare = lambda own: bind(edged(own), lambda at: _between(at, reach, -1))
+        every = bind(own, lambda own: F.concat(own, spare(own)))
+        return F.transform(every, lambda i: F.struct(i.alias("pos"), F.get(h, i).alias("h")))
+
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+    return bind(_words(text), lambda ws: F.when(F.size(ws) >= n, bind(_gram_hashes(ws), choose)).otherwise(none))
+
+
+def _windows(text: Column, told: Column, n: int) -> Column:
+    """array<struct<pos, h>>: the n-word windows whose anchors of the first kind all occur in told, with their SHA-256."""
+
+    def of(ws: Column) -> Column:
+        own = F.filter(_anchors(text, n), lambda x: x["h"] % RARE == 0)
+        alone = F.array_sort(F.array_except(own["pos"], told))
+        edged = F.concat(F.array(F.lit(-1)), alone, F.array(F.size(ws) - GRAM + 1))
+        digest = lambda i: F.unhex(F.sha2(F.array_join(F.slice(ws, i + 1, n), " "), 256))
+        starts = bind(edged, lambda at: _between(at, 1, GRAM - n - 1))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), digest(i).alias("h")))
+
+    return bind(_words(text), of)
+
+
+def _without(text: Column, ranges: Column) -> Column:
+    """text without the words of the ranges [first, end); of the spaces around them those that hold a line end stay."""
+
+    def merge(runs: Column, x: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
+        head = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+        return F.when(x["a"] <= last["b"], F.concat(head, F.array(longer))).otherwise(F.concat(runs, F.array(x)))
+
+    runs = F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<a:int,b:int>>"), merge)
+
+    def rest(p: Column) -> Column:
+        ws, gaps, runs = p["ws"], p["gaps"], p["runs"]
+
+        def body(a: Column, b: Column) -> Column:
+            more = F.zip_with(F.slice(gaps, a + 2, b - a - 1), F.slice(ws, a + 2, b - a - 1), lambda g, w: F.concat(g, w))
+            return F.when(a < b, F.concat(F.get(ws, a), F.array_join(more, ""))).otherwise("")
+
+        def after(r: Column, k: Column) -> Column:
+            before, behind = F.get(gaps, r["a"]), F.get(gaps, r["b"])
+            glue = F.when(F.contains(behind, F.lit("\n")), behind).otherwise(before)
+            glue = F.when((r["a"] == 0) | (r["b"] == F.size(ws)), "").otherwise(glue)
+            return F.concat(glue, body(r["b"], F.coalesce(F.get(runs, k + 1)["a"], F.size(ws))))
+
+        first = F.concat(F.get(gaps, F.lit(0)), body(F.lit(0), F.get(runs, F.lit(0))["a"]))
+        return F.concat(first, F.array_join(F.transform(runs, after), ""), F.get(gaps, F.size(ws)))
+
+    gaps = F.split(text, r"[^\x20\x09-\x0D]+")
+    return bind(F.struct(_words(text).alias("ws"), gaps.alias("gaps"), runs.alias("runs")), rest)
+
+
+def without_passages(docs: DataFrame, *, n: int = 50) -> DataFrame:
+    """docs with ``clean_text``: every run of n words or more that an earlier place holds is taken out.
+
+    Words count, not lines: passages of several short lines, at the edges of chunks and inside
+    long lines are found alike. A window of n words can be a repeat only if its anchors are; such
+    windows get a SHA-256, and those with the digest of an earlier place go. The least
+    (doc_id, position) is kept, and never overlapped by what goes in the same document.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+    # 1. anchors that occur in two places
+    places = keyed.select("__key", F.explode(_anchors(F.col("text"), n)).alias("x")).select("__key", "x.pos", "x.h")
+    place = F.struct("__key", "pos")
+    twice = places.groupBy("h").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("h")
+    told = places.join(twice, "h").groupBy("__key").agg(F.collect_set("pos").alias("__told"))
+
+    # 2. windows all of whose anchors do
+    met = keyed.join(told, "__key", "left")
+    found = met.where("__told is not null").select("doc_id", "__key", F.explode(_windows(F.col("text"), F.col("__told"), n)).alias("x"))
+    found = found.select("doc_id", "__key", "x.pos", "x.h")
+    place = F.struct("doc_id", "__key", "pos")
+    heads = found.groupBy("h").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last")
+    gone = found.join(heads.select("h", "head"), "h").where((F.col("head.__key") != F.col("__key")) | (F.col("head.pos") != F.col("pos")))
+    own = F.when(F.col("head.__key") == F.col("__key"), F.col("head.pos") + n)
+    gone = gone.select("__key", F.struct(F.greatest("pos", own).alias("a"), (F.col("pos") + n).alias("b")).alias("x"))
+    gone = gone.groupBy("__key").agg(F.collect_set("x").alias("__gone"))
+
+    # 3. what is left of each text
+    out = met.join(gone, "__key", "left")
+    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__gone")))
+    return out.withColumn("clean_text", clean).drop("__key", "__told", "__gone")
+
+
 def deduped_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with repeated chunks taken out; a document that had words and lost all of them goes."""
-    out = dedup(docs, **options)
+    """docs with repeated chunks, then repeated passages taken out; a document that had words and lost all of them goes."""
     blank = lambda c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(SPACES)) == ""
-    out = out.where((F.col("n_removed_lines") == 0) | ~blank("clean_text"))
-    values = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return out.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+    def left(out: DataFrame) -> DataFrame:
+        out = out.where(F.col("clean_text").eqNullSafe(F.col("text")) | ~blank("clean_text"))
+        values = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+        return out.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+    whole = cut(left(dedup(docs, **options)), "chunks")
+    return left(without_passages(whole, n=options.get("long_words", 50)))

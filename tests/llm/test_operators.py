@@ -178,6 +178,38 @@ def test_line_dedup(spark):
     assert line_dedup.deduped_documents(whole.withColumn("n_chars", F.length("text"))).count() == 1
 
 
+def test_repeated_passages(spark):
+    rng = random.Random(4)
+    own = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for lines in (1, 2, 3, 4, 5):
+        passage = [own(120 // lines) for _ in range(lines)]
+        for glue in ("\n", "\n", " ", "\t"):  # own lines twice, then inside a line, then with tabs
+            body = ("\n" if glue == "\n" else " ").join(glue.join(x) if glue == "\t" else " ".join(x) for x in passage)
+            rows.append(" ".join(own(9)) + ("\n" if glue == "\n" else " ") + body + ("\n" if glue == "\n" else " ") + " ".join(own(9)))
+    least = own(50)
+    rows += [" ".join([*own(3), *least, *own(3)]), "\n".join([*own(2), *least, *own(2)]), " ".join([*own(3), *least[:49], *own(3)])]
+    rows += ["x " * 400, "", "\n\n", None, "solo"]
+    for _ in range(80):  # passages after different words, some of them without an anchor of the first kind
+        shared = own(52)
+        rows += [" ".join([*own(40), *shared, *own(4)]) for _ in range(2)]
+    d = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduped_documents(d).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    seen = {}
+    for i in sorted(got):
+        w = words(got[i])
+        for j in range(len(w) - 49):
+            seen.setdefault(tuple(w[j : j + 50]), set()).add(i)
+    assert not [v for v in seen.values() if len(v) > 1]
+    for i, t in enumerate(rows[:20]):
+        assert words(got[i]) == (words(t) if i % 4 == 0 else words(t)[:9] + words(t)[-9:])
+        assert i % 4 == 0 or got[i].count("\n") == (1 if i % 4 == 1 else 0)
+    assert words(got[21]) == words(rows[21])[:2] + words(rows[21])[-2:] and got[22] == rows[22]
+    assert got[23].split() == ["x"] * 50 and [got[i] for i in (24, 25, 26, 27)] == ["", "\n\n", None, "solo"]
+    assert line_dedup.deduped_documents(d.where("false")).count() == 0
+
+
 def components(rows, n, percent):
     def grams(t):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
