@@ -22,6 +22,8 @@ TERMINAL = [".", "!", "?", ":", ";", "…", "。", "！", "？", '"', "'", "”"
 BOILERPLATE = r"cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|click here|sign (up|in)|subscribe|powered by"
 #: Link rows and menus.
 NAVIGATION = r"\|[^|]*\||»[^»]*»|^\s*(home|menu|next|previous|back to top|share|login|log in)\s*[|>»]?"
+#: The same, but menu words only as the whole line; NAVIGATION itself stays as the SQL has it.
+MENU_LINE = NAVIGATION + r"$"
 SYMBOLS = r"[#*$%&|<>]"
 #: A line of this many characters is prose, whatever phrases it holds.
 SHORT_LINE = 200
@@ -35,7 +37,7 @@ def line_kept(line: Column) -> Column:
     short = F.length(bare) < SHORT_LINE
     return (bare == "") | (
         F.right(bare, F.lit(1)).isin(TERMINAL)
-        & ~(short & low.rlike(NAVIGATION))
+        & ~(short & low.rlike(MENU_LINE))
         & ~(short & low.rlike(BOILERPLATE))
     )
 

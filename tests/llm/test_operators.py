@@ -178,6 +178,14 @@ def test_line_dedup(spark):
     assert line_dedup.deduped_documents(whole.withColumn("n_chars", F.length("text"))).count() == 1
 
 
+def test_sentences_that_begin_with_menu_words(spark):
+    prose = ["Next, we compare the results.", "Homeowners were told to leave.", "Shareholders voted."]
+    menus = ["Next »", " home »", "a | b | c.", "» x » y."]
+    d = spark.createDataFrame([(x,) for x in prose + menus], "line string")
+    got = {r["line"]: r["kept"] for r in d.withColumn("kept", quality.line_kept(F.col("line"))).collect()}
+    assert got == {x: x in prose for x in prose + menus}
+
+
 def test_repeated_passages(spark):
     rng = random.Random(4)
     own = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
