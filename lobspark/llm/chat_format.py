@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lobspark.llm.common import bind
+
 #: The template's control strings.
 START, TEXT, SEP, END = "<|start|>", "<|text|>", "<|sep|>", "<|end|>"
 #: The escape character, then what control strings of common templates begin with.
@@ -37,11 +39,22 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def running_sum(values: Column) -> Column:
+    """Sums of an array up to each place; a logarithmic number of passes over it."""
+
+    def step(by: int):
+        return lambda v: F.when(F.size(v) > by, F.transform(v, lambda x, i: x + F.coalesce(F.get(v, i - by), F.lit(0)))).otherwise(v)
+
+    for k in range(24):
+        values = bind(values, step(1 << k))
+    return values
+
+
 def format_conversations(turns: DataFrame, *, learn: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_runs).
 
     loss_runs covers formatted from start to end: consecutive runs of ``chars`` code
-    points, ``loss`` true exactly on the (escaped) texts of the role learn.
+    points from ``start`` on, ``loss`` true exactly on the (escaped) texts of the role learn.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
@@ -60,12 +73,16 @@ def format_conversations(turns: DataFrame, *, learn: str = "assistant") -> DataF
         )
 
     convs = convs.withColumn("pieces", F.flatten(F.transform("turns", pieces)))
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["piece"]).alias("chars"), p["loss"].alias("loss")))
+
+    def runs(sizes: Column) -> Column:
+        run = lambda ends: lambda p, i: F.struct((F.get(ends, i) - p["chars"]).alias("start"), p["chars"].alias("chars"), p["loss"].alias("loss"))
+        return bind(running_sum(F.transform(sizes, lambda p: p["chars"])), lambda ends: F.transform(sizes, run(ends)))
+
     return convs.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"),
-        F.transform("pieces", lambda p: F.struct(F.length(p["piece"]).alias("chars"), p["loss"].alias("loss"))).alias(
-            "loss_runs"
-        ),
+        bind(sizes, runs).alias("loss_runs"),
     )
 
 
@@ -84,11 +101,22 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(runs, turns_of))
 
 
-def digests(formatted: DataFrame, *, learn: str = "assistant") -> DataFrame:
-    """What a reader of the output finds: counts and digests of turns and of the loss text."""
+def masked_text(formatted: Column, loss_runs: Column) -> Column:
+    """All text under the loss mask, unescaped run by run; cut out of formatted by the runs' offsets alone."""
+
+    def cut(wide: Column) -> Column:  # four bytes a code point, so an offset needs no scan
+        piece = lambda r: F.decode(F.substring(wide, 4 * r["start"] + 1, 4 * r["chars"]), "UTF-32")
+        return F.transform(F.filter(loss_runs, lambda r: r["loss"]), lambda r: unescape(piece(r)))
+
+    return F.array_join(bind(F.encode(formatted, "UTF-32"), cut), "")
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """What a reader of the output finds: counts and digests of turns and of the text under the loss mask."""
     read = formatted.withColumn("turns", read_back(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: t["text"]), "")
+    read = read.withColumn("loss", masked_text(F.col("formatted"), F.col("loss_runs")))
+    loss = F.col("loss")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
