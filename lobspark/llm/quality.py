@@ -4,8 +4,12 @@ Every line is judged by itself on punctuation, navigation and boilerplate. Faile
 lines go; a document that loses too much of its text goes as a whole. One pass over
 the text, no shuffle, no Python on the executors.
 
+Prose that merely names a cookie or begins with "Next" stays: menu words count only as a
+whole line, and phrases that prose may hold only two at a time.
+
 Defined results: a null or blank text has no words, so it fails the base rule and is
-dropped. Rows are judged one by one, so ties, repeated rows and further columns
+dropped. A very long text is one row's work, linear in it but for the sorting of its
+windows. Rows are judged one by one, so ties, repeated rows and further columns
 (kept as they are) have no influence. An empty table gives an empty table.
 """
 
@@ -18,12 +22,14 @@ from lobspark.llm.common import SPACES, bind, words
 
 #: Last characters that end a sentence, clause or quotation.
 TERMINAL = [".", "!", "?", ":", ";", "…", "。", "！", "？", '"', "'", "”", "’", "»", ")", "]"]
-#: Phrases of page furniture, looked for in short lines only.
-BOILERPLATE = r"cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|click here|sign (up|in)|subscribe|powered by"
-#: Link rows and menus.
-NAVIGATION = r"\|[^|]*\||»[^»]*»|^\s*(home|menu|next|previous|back to top|share|login|log in)\s*[|>»]?"
-#: The same, but menu words only as the whole line; NAVIGATION itself stays as the SQL has it.
-MENU_LINE = NAVIGATION + r"$"
+#: Phrases of page furniture that prose does not hold; one in a short line is enough.
+FURNITURE = r"\b(all rights reserved|lorem ipsum|powered by wordpress)\b"
+#: Phrases that prose may hold as well; a short line needs two different ones.
+SIGNALS = r"cookies|cookie policy|cookie settings|javascript|privacy policy|terms of use|terms of service|click here|sign up|sign in|log in|subscribe|newsletter|powered by"
+TWO_SIGNALS = rf"(?s)\b({SIGNALS})\b.*\b(?!\1\b)({SIGNALS})\b"
+#: Link rows, and menu words that are the whole line or stand before a divider.
+LINK_ROW = r"(?s)(^|\s)[|»](\s|$).*\s[|»](\s|$)"
+MENU_LINE = r"^(home|menu|next|previous|back to top|share|login|log in)\s*([|>»].*)?$"
 SYMBOLS = r"[#*$%&|<>]"
 #: A line of this many characters is prose, whatever phrases it holds.
 SHORT_LINE = 200
@@ -37,8 +43,8 @@ def line_kept(line: Column) -> Column:
     short = F.length(bare) < SHORT_LINE
     return (bare == "") | (
         F.right(bare, F.lit(1)).isin(TERMINAL)
-        & ~(short & low.rlike(MENU_LINE))
-        & ~(short & low.rlike(BOILERPLATE))
+        & ~(short & (low.rlike(LINK_ROW) | low.rlike(MENU_LINE)))
+        & ~(short & (low.rlike(FURNITURE) | low.rlike(TWO_SIGNALS)))
     )
 
 

@@ -110,7 +110,14 @@ _RUN = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(regexp_split_to_array(coalesce({{}}, ''), '{_RUN}'), lambda w: w <> '')"
 _TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _ENDS = ", ".join("'" + c.replace("'", "''") + "'" for c in quality.TERMINAL)
-_NAV = quality.NAVIGATION.replace("'", "''")
+#: Written for this SQL by hand, without a look at the operator's patterns.
+_PROSE_TOO = ["cookies", "cookie policy", "cookie settings", "javascript", "privacy policy", "terms of use", "terms of service", "click here", "sign up", "sign in", "log in", "subscribe", "newsletter", "powered by"]
+_TWO = " + ".join(f"regexp_matches({{0}}, '\\b{x}\\b')::int" for x in _PROSE_TOO)
+_FURNITURE = (
+    "regexp_matches({0}, '\\b(all rights reserved|lorem ipsum|powered by wordpress)\\b')"
+    " or len(regexp_extract_all(' ' || {0} || ' ', '\\s[|»]\\s')) > 1 or " + f"{_TWO} > 1"
+    " or regexp_full_match({0}, '(home|menu|next|previous|back to top|share|login|log in)\\s*([|>»].*)?')"
+)
 
 ORACLE = {
     "op2_url_filters": r"""
@@ -153,8 +160,7 @@ m as (
     length(array_to_string(ls, ''))::bigint as line_chars,
     length(array_to_string(list_filter(ls, lambda x: {_TRIM.format('x')} = '' or (
       {_TRIM.format('x')}[-1] in ({_ENDS})
-      and not (length({_TRIM.format('x')}) < {quality.SHORT_LINE} and regexp_matches(lower({_TRIM.format('x')}), '{_NAV}'))
-      and not (length({_TRIM.format('x')}) < {quality.SHORT_LINE} and regexp_matches(lower({_TRIM.format('x')}), '{quality.BOILERPLATE}')))), ''))::bigint as kept_chars
+      and not (length({_TRIM.format('x')}) < 200 and ({_FURNITURE.format("lower(" + _TRIM.format('x') + ")")})))), ''))::bigint as kept_chars
   from d left join rep on rep.id = d.id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,

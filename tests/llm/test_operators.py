@@ -1,5 +1,6 @@
 """Training-data operators against brute force, and on nulls, ties, repeats and empty tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -178,12 +179,40 @@ def test_line_dedup(spark):
     assert line_dedup.deduped_documents(whole.withColumn("n_chars", F.length("text"))).count() == 1
 
 
-def test_sentences_that_begin_with_menu_words(spark):
-    prose = ["Next, we compare the results.", "Homeowners were told to leave.", "Shareholders voted."]
-    menus = ["Next »", " home »", "a | b | c.", "» x » y."]
-    d = spark.createDataFrame([(x,) for x in prose + menus], "line string")
+PROSE = """Next, we compare the results.
+Homeowners were told to leave.
+Shareholders voted.
+Shares of the company fell by a third.
+Previously, the bridge was closed in winter.
+Next to the mill there is a small garden.
+Home is where the river bends.
+Share the bread with your neighbours!
+She baked a cookie.
+The cookies were still warm.
+It was a design in red.
+He learned JavaScript at school.
+You can subscribe to that view or not.
+The mill was powered by water.
+They had to sign in ink.
+Please sign up before Monday.
+The privacy policy of the state is old.
+Login names are hard to remember.
+Menus were printed on linen.
+Previous owners had painted it green.
+The court read the terms of service aloud.
+A value of |x| is never negative, he said.
+"Click here," said the teacher, "and watch."
+Logins failed all night.""".split("\n")
+MENUS = ["Next »", " home »", "a | b | c.", "» x » y.", "Login.|", "We use cookies, see our privacy policy.", "Sign up or log in.", "2020 Some Firm. All rights reserved.", "Menu | News.", "Lorem ipsum dolor sit amet."]
+
+
+def test_lines_of_prose_and_of_menus(spark):
+    d = spark.createDataFrame([(x,) for x in PROSE + MENUS], "line string")
     got = {r["line"]: r["kept"] for r in d.withColumn("kept", quality.line_kept(F.col("line"))).collect()}
-    assert got == {x: x in prose for x in prose + menus}
+    assert got == {x: x in PROSE for x in PROSE + MENUS}
+    page = spark.createDataFrame([(1, "\n".join(PROSE)), (2, "\n".join(PROSE[:5] + ["Next » Home » Menu »"] * 3))], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in quality.assess(page).collect()}
+    assert r[1]["kept"] and r[1]["clean_text"] == "\n".join(PROSE) and r[2]["clean_text"] == "\n".join(PROSE[:5])
 
 
 def test_repeated_passages(spark):
@@ -286,7 +315,26 @@ def test_chat(spark):
             at += run["chars"]
         assert at == len(r["formatted"])
         assert [re.sub(r"(?s)\\(.)", r"\1", m) for m in marked] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
-    assert chat_format.digests(out).where("mask_chars <> formatted_chars").count() == 0
+    told = chat_format.digests(out)
+    assert told.where("mask_chars <> formatted_chars").count() == 0
+    by_conv = {r["conv_id"]: r for r in told.collect()}
+    for c, turns_ in want.items():
+        learned = "".join(t for role, t in turns_ if role == "assistant")
+        assert (by_conv[c]["loss_chars"], by_conv[c]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    # the digests are those of the mask, not of the roles: masks that are moved, cut or turned around give others
+    moved = lambda change: out.withColumn("loss_runs", F.transform("loss_runs", change))
+    for change in (
+        lambda r: F.struct((r["start"] + 1).alias("start"), r["chars"].alias("chars"), r["loss"].alias("loss")),
+        lambda r: F.struct(r["start"].alias("start"), (r["chars"] - 1).alias("chars"), r["loss"].alias("loss")),
+        lambda r: F.struct(r["start"].alias("start"), r["chars"].alias("chars"), (~r["loss"]).alias("loss")),
+    ):
+        assert {r["conv_id"]: r["loss_sha256"] for r in chat_format.digests(moved(change)).collect()}[1] != by_conv[1]["loss_sha256"]
+    wide = spark.createDataFrame([(0, 0, "user", "ä\U0001f600é"), (0, 1, "assistant", "\U0001f600\\ ok"), (0, 2, "assistant", "ß")], "conv_id long, turn long, role string, text string")
+    one = chat_format.digests(chat_format.format_conversations(wide)).first()
+    assert one["loss_sha256"] == hashlib.sha256("\U0001f600\\ okß".encode()).hexdigest() and one["loss_chars"] == 6
+    long = spark.createDataFrame([(0, i, "assistant" if i % 2 else "user", f"text {i} " * 9) for i in range(3000)], "conv_id long, turn long, role string, text string")
+    one = chat_format.digests(chat_format.format_conversations(long)).first()
+    assert one["loss_sha256"] == hashlib.sha256("".join(f"text {i} " * 9 for i in range(1, 3000, 2)).encode()).hexdigest()
     assert chat_format.format_conversations(turns.where("false")).count() == 0
 
 
