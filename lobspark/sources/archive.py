@@ -35,7 +35,7 @@ def with_partitions(df: DataFrame, ts: str) -> DataFrame:
 def write(df: DataFrame, path: str, ts: str, *, rows_per_file: int = 10_000, mode: str = "append") -> None:
     """Batch sink. The commit protocol makes files visible only when whole; a partition's rows meet in few tasks."""
     parts = ["p_exchange", "p_symbol", "p_date"]
-    out = with_partitions(df, ts)
+    out = with_partitions(df, ts).hint("rebalance", *parts)  # large partitions are split, small ones share a task
     out.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*parts).parquet(path)
 
 
@@ -146,18 +146,20 @@ def expired(listing: DataFrame, today: Column, days: int) -> DataFrame:
 
 
 def prune(spark: SparkSession, path: str, today: date, days: int) -> list[str]:
-    """Delete p_date partitions before today - days; returns their names."""
+    """Delete p_date partitions before today - days, however deep below path; returns their names."""
     fs, p, _ = _fs(spark, path)
-    edge, gone = (today - timedelta(days=days)).isoformat(), []
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/**/p_date=*")) or []:
-        if status.getPath().getName().removeprefix("p_date=") < edge:
-            fs.delete(status.getPath(), True)
-            gone.append(status.getPath().getName())
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/p_date=*")) or []:
-        if status.getPath().getName().removeprefix("p_date=") < edge:
-            fs.delete(status.getPath(), True)
-            gone.append(status.getPath().getName())
-    return sorted(set(gone))
+    edge, gone, folders = (today - timedelta(days=days)).isoformat(), set(), [p]
+    while folders:
+        for status in fs.listStatus(folders.pop()):
+            name = status.getPath().getName()
+            if not status.isDirectory():
+                continue
+            if not name.startswith("p_date="):
+                folders.append(status.getPath())
+            elif name.removeprefix("p_date=") < edge:
+                fs.delete(status.getPath(), True)
+                gone.add(name)
+    return sorted(gone)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -101,7 +101,8 @@ def test_archive(spark, tmp_path):
     archive.write(df, path, "recv_ts_ms")
     back = spark.read.parquet(path)
     assert {r["p_date"].isoformat() for r in back.select("p_date").collect()} == {"1970-01-01", "1970-01-02"} and back.first()["p_symbol"] == "btc_x"
-    assert archive.prune(spark, f"{path}/p_exchange=binance/p_symbol=btc_x", date(1970, 1, 3), 1) == ["p_date=1970-01-01"]
+    assert archive.prune(spark, path, date(1970, 1, 3), 1) == ["p_date=1970-01-01"]
+    assert {r["p_date"].isoformat() for r in spark.read.parquet(path).select("p_date").collect()} == {"1970-01-02"}
     day = tmp_path / "day"
     day.mkdir()
     for i in (1, 2):
