@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from lobspark.config import Settings
 
@@ -85,11 +87,14 @@ class ReorderBuffer:
 
 
 class TradeMatcher:
-    """Traded quantity by (side, price) in 100 ms buckets; matching consumes it, oldest first."""
+    """Traded quantity by (side, price) in 100 ms buckets; matching consumes it, oldest first.
+
+    Buckets wait in a heap by their start, so that only what expires is looked at.
+    """
 
     def __init__(self):
         self.open: dict[tuple[bool, float], deque] = {}
-        self.by_time: deque = deque()
+        self.starts: list[tuple[int, bool, float]] = []
 
     def record(self, is_bid: bool, price: float, qty: float, ts: int) -> None:
         if qty <= EPS or price <= 0:
@@ -101,6 +106,7 @@ class TradeMatcher:
             chunks[-1][1] += qty
         else:
             chunks.append([start, qty])
+            heappush(self.starts, (start, is_bid, price))
 
     def consume(self, is_bid: bool, price: float, wanted: float, ts: int) -> float:
         self._prune(ts)
@@ -116,12 +122,16 @@ class TradeMatcher:
         return wanted - left
 
     def _prune(self, ts: int) -> None:
-        for key in list(self.open):
-            kept = deque(c for c in self.open[key] if c[0] >= ts - BUCKET_MS)
+        while self.starts and self.starts[0][0] < ts - BUCKET_MS:
+            _, *key = heappop(self.starts)
+            chunks = self.open.get(tuple(key))
+            if chunks is None:
+                continue
+            kept = deque(c for c in chunks if c[0] >= ts - BUCKET_MS)
             if kept:
-                self.open[key] = kept
+                self.open[tuple(key)] = kept
             else:
-                del self.open[key]
+                del self.open[tuple(key)]
 
 
 @dataclass
@@ -291,25 +301,32 @@ class WallStats:
 
     def __init__(self):
         self.levels: dict[tuple[bool, float], deque] = {}
+        self.seen: list[tuple[int, int, list[tuple[bool, float]]]] = []  # a heap of what was sampled when
+        self.count = 0
         self.quotes: deque = deque()
 
     def observe(self, book: Book, ts: int) -> None:
+        keys = []
         for is_bid in (True, False):
             for price, size in book.top(is_bid, SAMPLE_LEVELS):
                 if size > EPS:
                     self.levels.setdefault((is_bid, price), deque()).append((ts, size))
+                    keys.append((is_bid, price))
+        self.count += 1
+        heappush(self.seen, (ts, self.count, keys))
         bid, ask = book.best(True), book.best(False)
         if bid and ask and (bid[1] + ask[1]) / 2 > EPS:
             self.quotes.append((ts, (bid[1] + ask[1]) / 2))
         self.prune(ts)
 
     def prune(self, ts: int) -> None:
-        for key in list(self.levels):
-            q = self.levels[key]
-            while q and q[0][0] < ts - STAT_MS:
-                q.popleft()
-            if not q:
-                del self.levels[key]
+        while self.seen and self.seen[0][0] < ts - STAT_MS:
+            for key in heappop(self.seen)[2]:
+                q = self.levels.get(key)
+                while q and q[0][0] < ts - STAT_MS:
+                    q.popleft()
+                if q is not None and not q:
+                    del self.levels[key]
         while self.quotes and self.quotes[0][0] < ts - STAT_MS:
             self.quotes.popleft()
 
@@ -369,12 +386,14 @@ def aligned_wall(wall: tuple[bool, float, str], flow: float) -> tuple[bool, floa
 class Kernel:
     """All of one symbol's state. feed() takes rows as dicts in arrival order and returns output rows.
 
-    A row's kind is snapshot, trade or depth. Output rows are signals plus 'outcome' and
-    'reason'; keyframes and counters are kept aside.
+    A row's kind is snapshot, trade, depth or end; end releases everything that waits. Output
+    rows are signals plus 'outcome' and 'reason'; keyframes wait for take_keyframes(),
+    counters run on. clock gives milliseconds now; without one (replay) latencies are 0.
     """
 
-    def __init__(self, settings: Settings):
+    def __init__(self, settings: Settings, clock: Callable[[], float] | None = None):
         s = self.settings = settings
+        self.clock = clock
         self.buffer = ReorderBuffer(
             s.execution_match_lookahead_ms, s.trade_alignment_max_lag_ms, s.reorder_hold_ms, s.reorder_capacity,
             s.reorder_resync_max_buffer_lag_ms,
@@ -398,6 +417,8 @@ class Kernel:
             if self.last_id is None or not self.synced and self._waits:
                 self._replace()
             return self._release() if self.last_id is not None else []
+        if row["kind"] == "end":
+            return self.finish()
         is_trade = row["kind"] == "trade"
         self._count("total_agg_trade_events" if is_trade else "total_depth_events")
         late = self.buffer.push(row["event_ts_ms"], is_trade, row)
@@ -415,6 +436,11 @@ class Kernel:
         """The end of the stream: everything that waits is released."""
         return self._release(everything=True)
 
+    def take_keyframes(self) -> list[dict]:
+        """Keyframes since the last call."""
+        out, self.keyframes = self.keyframes, []
+        return out
+
     _waits = False
 
     def _release(self, everything: bool = False) -> list[dict]:
@@ -468,17 +494,21 @@ class Kernel:
     def wall(self, plan: dict, cvd_5s: float, ts: int) -> tuple[bool, float, str]:
         """The strongest pulled wall of either side."""
         self.walls.prune(ts)
-        quote = self.walls.quote_mean() or 0.0
+        quote: float | None = None
         best: dict[bool, tuple[float, str]] = {}
         for (is_bid, price), (_, cancelled) in sorted(plan.items(), key=lambda x: x[0][1]):
             size = self.book.size_at(is_bid, price)
-            limit = self.walls.threshold(is_bid, price)
-            if size <= EPS or limit is None or not math.isfinite(limit[0]) or limit[0] <= EPS:
+            swept = cvd_5s > EPS if is_bid else cvd_5s < -EPS
+            if size <= EPS or not swept:
                 continue
             ratio = min(1.0, max(0.0, cancelled / size))
-            swept = cvd_5s > EPS if is_bid else cvd_5s < -EPS
-            if ratio + EPS < 0.8 or size + EPS < limit[0] or not swept:
+            if ratio + EPS < 0.8:
+                continue
+            limit = self.walls.threshold(is_bid, price)  # the costly test comes last
+            if limit is None or not math.isfinite(limit[0]) or limit[0] <= EPS or size + EPS < limit[0]:
                 continue
+            if quote is None:
+                quote = self.walls.quote_mean() or 0.0
             clamp = lambda x, hi: min(hi, max(0.0, x))
             score = 10 * (
                 0.45 * clamp(size / limit[0] - 1, 2.0) / 2
@@ -511,7 +541,7 @@ class Kernel:
         elif self.next_keyframe is not None and ts >= self.next_keyframe:
             step = self.settings.snapshot_dump_interval_secs * 1000
             self.next_keyframe += ((ts - self.next_keyframe) // step + 1) * step
-            self.keyframes.append({"snapshot_ts_ms": ts, "last_update_id": self.last_id, "snapshot_source": "local_keyframe", "bids": self.book.top(True, 10**9), "asks": self.book.top(False, 10**9)})
+            self.keyframes.append({"snapshot_ts_ms": ts, "symbol": row["symbol"], "last_update_id": self.last_id, "snapshot_source": "local_keyframe", "bids": self.book.top(True, 10**9), "asks": self.book.top(False, 10**9)})
         if signal is None:
             return []
         self._count("stale_signals_emitted" if outcome == "resync" else "signals_emitted")
@@ -560,6 +590,6 @@ class Kernel:
             "vwaa_l1_bid_ms": ages["vwaa_l1"][0], "vwaa_l1_ask_ms": ages["vwaa_l1"][1], "vwaa_l1_imbalance": balance(*ages["vwaa_l1"]),
             "vwaa_top5_bid_ms": ages["vwaa_top5"][0], "vwaa_top5_ask_ms": ages["vwaa_top5"][1], "vwaa_top5_imbalance": balance(*ages["vwaa_top5"]),
             **cvd, "spoof_flag": flag, "spoof_score": score, "spoof_reason_code": why,
-            "depth_update_u": row["first_update_id"], "depth_update_pu": prev if prev is not None else max(row["first_update_id"] - 1, 0),
-            "ingest_to_signal_ms": 0,
+            "depth_update_u": row["final_update_id"], "depth_update_pu": prev if prev is not None else max(row["first_update_id"] - 1, 0),
+            "ingest_to_signal_ms": max(0, int(self.clock()) - (row["recv_ts_ms"] or 0)) if self.clock else 0,
         }

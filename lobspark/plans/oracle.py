@@ -44,6 +44,24 @@ def _band(value: str) -> str:
   from live l join best b on l.symbol = b.symbol group by 1"""
 
 
+_LEVELS = ", ".join(f"last_value(case when seq % 5 = {k} then {side}_qty end ignore nulls) over w as {side[0]}{k}" for side in ("bid", "ask") for k in range(5))
+_SUM = lambda side: " + ".join(f"coalesce({side}{k}, 0)" for k in range(5))
+_SIZE = lambda side: " + ".join(f"({side}{k} is not null)::int" for k in range(5))
+#: What the kernel makes of the events: book and flow by last write, rolling sums by position (events lie 100 ms apart;
+#: a depth event is released after the trade that follows it, but for the last one).
+KERNEL = QUOTES + f""", base as (select q.*, datediff('day', date '1970-01-01', o_orderdate::date) // 30 as epoch, datediff('day', date '1970-01-01', o_orderdate::date) as day
+  from quotes q join orders on o_orderkey = seq),
+rn as (select *, row_number() over (partition by symbol, epoch order by day, seq) as rn, count(*) over (partition by symbol, epoch) as n,
+  case when seq % 2 = 0 then -1.0::double else 1.0::double end as sgn from base),
+held as (select *, {_LEVELS}, case when rn = n then sgn else 0 end as unseen,
+  sum(sgn) over (w rows between 50 preceding and current row) as s5, sum(sgn) over (w rows between 600 preceding and current row) as s60,
+  sum(sgn) over (w rows between 3000 preceding and current row) as s300 from rn window w as (partition by symbol, epoch order by rn)),
+tops as (select *, case when b4 is not null then 97 when b3 is not null then 96.5 when b2 is not null then 96 when b1 is not null then 95.5 else 95 end::double as bb,
+  coalesce(b4, b3, b2, b1, b0) as bq, coalesce(a0, a1, a2, a3, a4) as aq,
+  case when a0 is not null then 105 when a1 is not null then 105.5 when a2 is not null then 106 when a3 is not null then 106.5 else 107 end::double as ba,
+  {_SUM('b')} as bids, {_SUM('a')} as asks from held),
+kernel as (select *, lag(bb) over w as wbb, lag(bq) over w as wbq, lag(ba) over w as wba, lag(aq) over w as waq, lag(bids) over w as wbids, lag(asks) over w as wasks
+  from tops window w as (partition by symbol, epoch order by rn))"""
 _SIGNED = "case when buyer_is_maker then -qty else qty end::decimal(28,9)"
 _CVD = "sum({0}) over (partition by symbol order by ts_ms range between {1} preceding and current row)::double as {2}"
 _KEYS = "symbol, is_bid, price"
@@ -65,7 +83,7 @@ select symbol, qty as p99, n from r where r = floor((n - 1) * 0.99::double + 0.5
     "book_topn": f"with {LIVE}, r as (select *, row_number() over (partition by symbol, is_bid order by case when is_bid then -price else price end)::int as level from live) select symbol, is_bid, level, price, size from r where level <= 5",
     "book_full": f"""with {LIVE} select symbol, coalesce(string_agg((price * 2)::bigint || ':' || size::bigint, ',' order by price desc) filter (is_bid), '') as bids,
 coalesce(string_agg((price * 2)::bigint || ':' || size::bigint, ',' order by price) filter (not is_bid), '') as asks from live group by 1""",
-    "book_asof": f"with {DELTAS} select {_KEYS}, arg_max(size, seq) as size, max(seq) as seq from deltas where seq <= 9000 * 100000000000 group by all having arg_max(size, seq) > 0",
+    "book_asof": f"with {DELTAS} select {_KEYS}, arg_max(size, seq) as size, max(seq) as seq from deltas where seq <= 9800 * 100000000000 group by all having arg_max(size, seq) > 0",
     "keyframe_daily": f"with {MARKS} select symbol, bucket, count(*) filter (is_bid) as bids, count(*) filter (not is_bid) as asks, sum(case when is_bid then size else 0 end) as bid_size from at_marks group by all",
     "depth_changes": f"with {CHANGES} select symbol, is_bid, change, count(*) as n, sum(drop_) as dropped from changes group by all",
     "band_notional_linear": _band("price * size"),
@@ -123,6 +141,18 @@ g as (select {_KEYS}, sum(drop_) as removed from changes group by all),
 u as (select a.*, sum(a.size) over (partition by a.symbol, a.is_bid, a.price order by seq) as upto, removed from a join g on g.symbol = a.symbol and g.is_bid = a.is_bid and g.price = a.price)
 select {_KEYS}, seq, greatest(0, least(size, upto - removed)) as "left" from u where least(size, upto - removed) > 0""",
     "counts_by_symbol": f"with {TRADES} select symbol, count(*) as n, max(ts_ms) as last_ms from trades group by 1",
+    "kernel_book": f"""with {KERNEL} select symbol, 'binance:coinm:' || symbol || ':' || rn * 10 as event_id, rn * 100 as event_ts_ms, rn * 10 as depth_update_u, rn * 10 - 10 as depth_update_pu,
+false as stale_state, 'emit' as outcome, bb as best_bid, ba as best_ask, (bb + ba) / 2 as mid_price, round((ba - bb) / ((bb + ba) / 2) * 10000, 6) as spread_bps,
+round((ba * bq + bb * aq) / (bq + aq), 6) as microprice, bids * 100 as bid_notional_5pct, asks * 100 as ask_notional_5pct, round((bids - asks) / (bids + asks), 9) as imbalance_5pct,
+(case when bb = wbb then bq - wbq when bb > wbb then bq else -wbq end) - (case when ba = wba then aq - waq when ba < wba then aq else -waq end) as ofi_l1,
+(bids - wbids) - (asks - wasks) as m_ofi_top5, s5 - unseen as cvd_5s, s60 - unseen as cvd_1m, s300 - unseen as cvd_5m, 0::bigint as ingest_to_signal_ms from kernel where rn > 1""",
+    "kernel_counters": f"""with {KERNEL}, c as (select symbol, count(*) as trades, count(*) filter (rn > 1) as depth from kernel group by 1),
+u as (select symbol, 'total_agg_trade_events' as name, trades as n from c union all select symbol, 'total_depth_events', depth from c union all select symbol, 'signals_emitted', depth from c)
+select * from u where n > 0""",
+    "kernel_keyframes": f"""with {KERNEL} select symbol, rn * 100 as snapshot_ts_ms, rn * 10 as last_update_id, 'local_keyframe' as snapshot_source, ({_SIZE('b')})::int as n_bids, ({_SIZE('a')})::int as n_asks,
+bids as bid_size, asks as ask_size, bb as best_bid, ba as best_ask from kernel where rn % 10 = 1 and rn > 1""",
+    "crossed_books": f"""with {MARKS} select symbol || '/' || bucket as symbol, max(price) filter (is_bid) as best_bid, min(price) filter (not is_bid) as best_ask,
+coalesce(max(price) filter (is_bid) >= min(price) filter (not is_bid), false) as crossed from at_marks group by symbol, bucket""",
     "frame_routes": f"with {TRADES} select trade_id, case trade_id % 5 when 0 then 'depth' when 1 then 'quote' when 2 then 'trade' else 'bad' end as kind from trades",
     "trade_frames": f"with {TRADES} select symbol, trade_id, ts_ms as event_ts_ms, price, qty, buyer_is_maker from trades where kind <> 'error'",
     "quote_frames": f"with {QUOTES} select symbol, seq as update_id, case when seq % 2 = 1 then seq * 10 - 3 else seq * 10 end as event_ts_ms, bid, bid_qty, ask, ask_qty from quotes",

@@ -9,7 +9,7 @@ from lobspark.config import Settings
 from lobspark.functions import names, signals
 from lobspark.operators import book, sequence, windows
 from lobspark.plans import gates, wire_queries
-from lobspark.plans.replay import replay
+from lobspark.plans.replay import counters_of, keyframes_of, outputs, replay
 from lobspark.plans.views import deltas, quotes, table, trades, updates
 
 HOUR = 3_600_000
@@ -56,7 +56,7 @@ def book_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_asof(spark: SparkSession, d: str) -> DataFrame:
-    return book.as_of(deltas(spark, d), F.lit(9000 * 100_000_000_000))
+    return book.as_of(deltas(spark, d), F.lit(9800 * 100_000_000_000))
 
 
 def _year_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -246,8 +246,8 @@ def counts_by_symbol(spark: SparkSession, d: str) -> DataFrame:
     return trades(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts_ms").alias("last_ms"))
 
 
-def kernel_replay(spark: SparkSession, d: str) -> DataFrame:
-    """The ordered kernel over quotes as depth events and events as trades, one day a stretch of a symbol."""
+def _kernel_events(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as depth events, each followed by a trade; thirty days are a stretch of a symbol."""
     q = quotes(spark, d).withColumn("day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")))
     level = lambda p, s: F.struct(F.round(p, 2).alias("price"), s.alias("size"))
     base = q.withColumn("rn", F.row_number().over(Window.partitionBy("symbol", F.floor(F.col("day") / 30)).orderBy("day", "seq")).cast("long"))
@@ -267,7 +267,44 @@ def kernel_replay(spark: SparkSession, d: str) -> DataFrame:
         none.cast(ev.schema["bids"].dataType).alias("bids"), none.cast(ev.schema["asks"].dataType).alias("asks"), price(-5).alias("price"),
         F.lit(1.0).alias("qty"), (F.col("seq") % 2 == 0).alias("buyer_is_maker"), F.floor(F.col("day") / 30).alias("epoch"),
     )
-    return replay(ev.union(tr), Settings(), epoch="epoch").drop("ingest_to_signal_ms")
+    return ev.union(tr)
+
+
+def kernel_replay(spark: SparkSession, d: str) -> DataFrame:
+    """All signal columns of the ordered kernel."""
+    return replay(_kernel_events(spark, d), Settings(), epoch="epoch")
+
+
+def kernel_book(spark: SparkSession, d: str) -> DataFrame:
+    """The kernel's signals without those of queues and walls, which SQL can't state."""
+    r = replay(_kernel_events(spark, d), Settings(), epoch="epoch")
+    return r.select(
+        "symbol", "event_id", "event_ts_ms", "depth_update_u", "depth_update_pu", "stale_state", "outcome", "best_bid", "best_ask", "mid_price",
+        F.round("spread_bps", 6).alias("spread_bps"), F.round("microprice", 6).alias("microprice"), "bid_notional_5pct", "ask_notional_5pct",
+        F.round("imbalance_5pct", 9).alias("imbalance_5pct"), "ofi_l1", "m_ofi_top5", "cvd_5s", "cvd_1m", "cvd_5m", "ingest_to_signal_ms",
+    )
+
+
+def kernel_counters(spark: SparkSession, d: str) -> DataFrame:
+    return counters_of(outputs(_kernel_events(spark, d), Settings(), epoch="epoch"))
+
+
+def kernel_keyframes(spark: SparkSession, d: str) -> DataFrame:
+    """Keyframes a second, by what they hold."""
+    k = keyframes_of(outputs(_kernel_events(spark, d), Settings(snapshot_dump_interval_secs=1), epoch="epoch"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["size"])
+    return k.select(
+        "symbol", "snapshot_ts_ms", "last_update_id", "snapshot_source", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"),
+        total("bids").alias("bid_size"), total("asks").alias("ask_size"), F.get("bids", F.lit(0))["price"].alias("best_bid"), F.get("asks", F.lit(0))["price"].alias("best_ask"),
+    )
+
+
+def crossed_books(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols and years whose live book is crossed or locked."""
+    b = book.best(book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket").withColumn("symbol", F.concat_ws("/", "symbol", "bucket")))
+    return b.select("symbol", "best_bid", "best_ask", F.coalesce(F.col("best_bid") >= F.col("best_ask"), F.lit(False)).alias("crossed"))
+
+
 
 
 QUERIES = {
@@ -278,5 +315,6 @@ QUERIES = {
         level_stats_mu2sigma, wall_candidates, wall_alignment, dedup_latest, dedup_first, sequence_gaps, bridge_event, orphan_parts,
         next_part_index, out_of_order_flags, alarm_m_of_n, counter_increases, gate_all_pass, daily_partition_counts, partition_value_norm,
         object_keys, event_ids, clock_offsets, clock_slew_fold, fifo_queue_closed_form, counts_by_symbol, kernel_replay,
+        kernel_book, kernel_counters, kernel_keyframes, crossed_books,
     )
 } | wire_queries.QUERIES

@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lobspark.config import Settings
 from lobspark.operators.kernel import Kernel
-from lobspark.schemas import SIGNAL, UNIFIED_EVENT
+from lobspark.schemas import LEVELS, SIGNAL, UNIFIED_EVENT
 
 REPLAY_OUT = T.StructType([*SIGNAL.fields, T.StructField("outcome", T.StringType()), T.StructField("reason", T.StringType())])
+KEYFRAME = T.StructType(
+    [
+        T.StructField("snapshot_ts_ms", T.LongType()), T.StructField("symbol", T.StringType()), T.StructField("last_update_id", T.LongType()),
+        T.StructField("snapshot_source", T.StringType()), T.StructField("bids", LEVELS), T.StructField("asks", LEVELS),
+    ]
+)
+#: One row for any output: output is signal, keyframe or counters.
+KERNEL_OUT = T.StructType(
+    [
+        T.StructField("output", T.StringType()), T.StructField("symbol", T.StringType()), T.StructField("signal", REPLAY_OUT),
+        T.StructField("keyframe", KEYFRAME), T.StructField("counters", T.MapType(T.StringType(), T.LongType())),
+    ]
+)
 
 
 def unify(depth: DataFrame, trades: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
@@ -40,26 +54,71 @@ def plain(row: dict) -> dict:
     return row | {"bids": pairs(row["bids"]), "asks": pairs(row["asks"])} | {k: whole(row[k]) for k in ids}
 
 
-def replay(events: DataFrame, settings: Settings, *, epoch: str | None = None) -> DataFrame:
-    """Signals of every symbol. A symbol's events are one ordered state machine, so one task.
+def tagged(kernel: Kernel, symbol: str, signals: list[dict], *, totals: bool) -> list[dict]:
+    """Signals, the keyframes that came with them and, with totals, the counters, as rows of KERNEL_OUT."""
+    level = lambda xs: [{"price": p, "size": q} for p, q in xs]
+    rows = [{"output": "signal", "symbol": symbol, "signal": x} for x in signals]
+    for k in kernel.take_keyframes():
+        rows.append({"output": "keyframe", "symbol": symbol, "keyframe": k | {"bids": level(k["bids"]), "asks": level(k["asks"])}})
+    if totals:
+        rows.append({"output": "counters", "symbol": symbol, "counters": dict(kernel.counters)})
+    return rows
+
+
+def outputs(events: DataFrame, settings: Settings, *, epoch: str | None = None) -> DataFrame:
+    """All outputs of the kernel (KERNEL_OUT): signals, keyframes, and counters once a symbol (and epoch).
 
-    epoch: a column that splits a symbol's events into independent stretches (days that
-    begin with a snapshot), which then run in parallel.
+    A symbol's events are one ordered state machine, so one task; Spark sorts them and they
+    stream through it, so a task holds a batch and the kernel's own state. epoch: a column
+    that splits a symbol's events into independent stretches (days that begin with a
+    snapshot), which then run in parallel. Write the result once to use several outputs.
     """
     keys = ["symbol", *([epoch] if epoch else [])]
+    schema = to_arrow_schema(KERNEL_OUT)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernel, names = Kernel(settings), [f.name for f in REPLAY_OUT]
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        flat = [r | {"counters": list(r["counters"].items())} if r.get("counters") else r for r in rows]
+        return pa.RecordBatch.from_pylist(flat, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, at = None, None
         for batch in batches:
-            rows = [x for r in batch.to_dict("records") for x in kernel.feed(plain(r))]
+            rows: list[dict] = []
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if key != at:
+                    if kernel:
+                        rows += tagged(kernel, at[0], signals + kernel.finish(), totals=True)
+                    kernel, at, signals = Kernel(settings), key, []
+                r["bids"] = [(x["price"], x["size"]) for x in r["bids"] or ()]
+                r["asks"] = [(x["price"], x["size"]) for x in r["asks"] or ()]
+                signals += kernel.feed(r)
+            if kernel:
+                rows += tagged(kernel, at[0], signals, totals=False)
+                signals = []
             if rows:
-                yield pd.DataFrame(rows, columns=names)
-        if rest := kernel.finish():
-            yield pd.DataFrame(rest, columns=names)
+                yield table(rows)
+        if kernel:
+            yield table(tagged(kernel, at[0], kernel.finish(), totals=True))
+
+    dealt = events.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq")
+    return dealt.mapInArrow(run, KERNEL_OUT)
+
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival_seq", kind="stable")
-        found = list(run(iter([pdf])))
-        return pd.concat(found) if found else pd.DataFrame(columns=[f.name for f in REPLAY_OUT])
+def signals_of(out: DataFrame) -> DataFrame:
+    return out.where("output = 'signal'").select("signal.*")
 
-    return events.groupBy(*keys).applyInPandas(one, REPLAY_OUT)
+
+def keyframes_of(out: DataFrame) -> DataFrame:
+    return out.where("output = 'keyframe'").select("keyframe.*")
+
+
+def counters_of(out: DataFrame) -> DataFrame:
+    """(symbol, name, n), added up over epochs."""
+    rows = out.where("output = 'counters'").select("symbol", F.explode("counters").alias("name", "n"))
+    return rows.groupBy("symbol", "name").agg(F.sum("n").alias("n"))
+
+
+def replay(events: DataFrame, settings: Settings, *, epoch: str | None = None) -> DataFrame:
+    """Signals of every symbol."""
+    return signals_of(outputs(events, settings, epoch=epoch))

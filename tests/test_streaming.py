@@ -5,9 +5,9 @@ import random
 import pytest
 
 from lobspark.config import Settings
-from lobspark.plans.replay import REPLAY_OUT, replay
+from lobspark.plans.replay import KERNEL_OUT, REPLAY_OUT, counters_of, keyframes_of, outputs, replay, signals_of
 from lobspark.schemas import UNIFIED_EVENT
-from lobspark.streaming.replay import stream_signals
+from lobspark.streaming.replay import stream_outputs, stream_signals
 
 
 def events(n=120, seed=3):
@@ -22,6 +22,8 @@ def events(n=120, seed=3):
             size = float(rng.randint(0, 5))
             out.append(("depth", len(out), ts, ts, "x", "coinm", sym, last[sym] + 1, last[sym] + 1, last[sym], [(99.0 + rng.randint(0, 1), size)], [(101.0, 3.0)], None, None, None))
             last[sym] += 1
+    for sym in last:
+        out.append(("end", len(out), None, None, "x", "coinm", sym, *[None] * 8))
     return out
 
 
@@ -40,8 +42,21 @@ def test_stream_is_batch(spark, tmp_path, files):
         s = spark.readStream.schema(UNIFIED_EVENT).parquet(str(src))
         q = stream_signals(s, Settings()).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
         q.awaitTermination()
-    got = known(spark.read.schema(REPLAY_OUT).parquet(out).collect())
-    want = known(batch)
-    assert got and set(got) <= set(want)
-    # what the batch has more is what its end of stream released
-    assert len(want) - len(got) < 40
+    assert known(spark.read.schema(REPLAY_OUT).parquet(out).collect()) == known(batch)
+
+
+def test_outputs_of_stream_and_batch(spark, tmp_path):
+    """Keyframes and counters leave the kernel in both; latency is told by the clock."""
+    rows, s = events(), Settings(snapshot_dump_interval_secs=1)
+    batch = outputs(spark.createDataFrame(rows, UNIFIED_EVENT), s)
+    src = tmp_path / "in"
+    spark.createDataFrame(rows, UNIFIED_EVENT).coalesce(1).write.parquet(str(src))
+    stream = stream_outputs(spark.readStream.schema(UNIFIED_EVENT).parquet(str(src)), s, clock=lambda: 10_000_000.0)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = spark.read.schema(KERNEL_OUT).parquet(str(tmp_path / "out"))
+    for of in (keyframes_of, counters_of):
+        assert sorted(map(str, of(got).collect())) == sorted(map(str, of(batch).collect())) and of(got).count()
+    late = signals_of(got).select("ingest_to_signal_ms", "recv_ts_ms").collect()
+    assert late and all(r["ingest_to_signal_ms"] == 10_000_000 - r["recv_ts_ms"] for r in late)
+    assert signals_of(batch).where("ingest_to_signal_ms <> 0").count() == 0
