@@ -13,15 +13,18 @@ the discounted mass D V / N for the one class of all unseen words. A text is rea
 carried state is the longest seen context, failure arcs are followed until an arc for
 the word exists, and log10 weights add up.
 
-How it is distributed: documents are dealt to partitions by hash, each a bounded number
-of bytes. A partition sends its distinct n-gram hashes with its training counts to hash
-buckets and gets back the whole corpus's counts for them, so it holds exactly the part
-of the automaton its own texts can reach. Model and texts grow without any table that
-must fit in one place; nothing is pruned, capped or broadcast.
+How it is distributed: texts are packed into chunks of a bounded size, in the order they
+are read, so rows that are alike (or all null) are spread like others. A chunk sends its
+distinct n-grams, by 64-bit names in every order, with its training counts to hash
+buckets and gets back the whole corpus's counts for them. From these it builds exactly the
+states, arcs and failure arcs that its own texts can reach, and traverses them. Model and
+texts grow without any table that must fit in one place; nothing is pruned, capped or
+broadcast, and a score depends on the corpus alone, not on how it is partitioned.
 
 Defined results: a null text is empty and scores its end token alone; a null id is
-learned from; repeated rows count as often as they occur; further columns are not read;
-an empty table gives an empty table.
+learned from; repeated rows count as often as they occur; a very long text is a chunk of
+its own, linear in its words; further columns are not read; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lobspark.llm import tokens as tk
+from lobspark.llm.chunks import pack_chunks, unpacked
 from lobspark.llm.common import partitions
 
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -116,7 +120,7 @@ def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     inside[first[:-1]] = inside[first[1:] - 1] = False
     seq[inside] = hashes
     seq[first[:-1]], seq[first[1:] - 1] = tk.BEGIN, tk.END
-    depth = np.arange(len(seq)) - np.repeat(first[:-1], size)
+    depth = np.minimum(np.arange(len(seq)) - np.repeat(first[:-1], size), 127).astype(np.int8)
     grams = [seq]
     for k in range(1, order):
         longer = np.zeros(len(seq), np.uint64)
@@ -126,21 +130,98 @@ def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return grams, first, depth if n else np.empty(0, np.int64)
 
 
-def _keys(grams: list[np.ndarray], first: np.ndarray, learned: np.ndarray, k: int, buckets: int):
-    """Sorted distinct n-grams of an order, positions' indexes among them, their training counts.
-
-    Words are told apart by 64 bits. Longer n-grams are by 32 bits within their bucket: as
-    buckets hold a bounded number of n-grams, about one in two thousand shares its count.
-    """
-    names = grams[k]
-    if k:
-        names = (tk.bucket_of(names, buckets) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+def _counted(names: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct names, positions' indexes among them, their training counts. 0 is no n-gram."""
     keys, where = np.unique(names, return_inverse=True)
-    weights = np.repeat(learned, np.diff(first)).astype(np.float64)
     counts = np.bincount(where, weights, len(keys)).astype(np.int64)
-    if k and len(keys) and keys[0] == 0:  # positions without an n-gram of this order
-        counts[0] = 0
-    return keys, where, counts
+    counts[keys == 0] = 0
+    return keys, where if len(names) >= 2**31 else where.astype(np.int32), counts
+
+
+class Automaton:
+    """The part of the model that some texts reach: states, arcs and failure arcs as arrays.
+
+    A state of k words is a distinct n-gram of k words with a count; so is an arc that leaves it,
+    with one word more. level k of each list holds those of k words (0: the root).
+    """
+
+    def __init__(self, where: list[np.ndarray], depth: np.ndarray, total: list[np.ndarray], strengths, ends: tuple[int, int, int, int]):
+        self.where, self.depth, self.total = where, depth, total
+        n, v, once, twice = ends
+        p = unigram(total[0], n, v, discount(once, twice))
+        self.arc, self.fail = [np.log10(p)], [None]
+        for k, s in enumerate(strengths, 1):
+            # of each n-gram: the state it leaves and the n-gram one word shorter, known from any place it occurs at
+            at = np.flatnonzero(depth >= k)
+            leaves, shorter = np.zeros(len(total[k]), np.int64), np.zeros(len(total[k]), np.int64)
+            leaves[where[k][at]], shorter[where[k][at]] = where[k - 1][at - 1], where[k - 1][at]
+            context = total[k - 1][leaves]
+            p = (total[k] + s * p[shorter]) / (context + s)
+            self.arc.append(np.log10(p))
+            self.fail.append(np.log10(s / (total[k - 1] + s)))
+
+    def traverse(self) -> np.ndarray:
+        """log10 weight of the step to each position; all texts are read at once, as the state before a step is known."""
+        log = np.zeros(len(self.depth))
+        waiting = np.flatnonzero(self.depth > 0)
+        for k in range(len(self.arc) - 1, 0, -1):
+            before = self.where[k - 1][waiting - 1]
+            state = (self.depth[waiting] >= k) & (self.total[k - 1][before] > 0)  # the carried state has k words, or came to have
+            taken = state & (self.total[k][self.where[k][waiting]] > 0)
+            log[waiting[taken]] += self.arc[k][self.where[k][waiting[taken]]]
+            down = state & ~taken
+            log[waiting[down]] += self.fail[k][before[down]]
+            waiting = waiting[~taken]
+        log[waiting] += self.arc[0][self.where[0][waiting]]
+        return log
+
+
+#: Bits of a name that are sent as they are; the rest is sent as steps between sorted names.
+LOW = 40
+
+
+def _squeeze(raw: np.ndarray) -> bytes:
+    data = raw.tobytes()
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True), kind)
+
+
+def encode_names(keys: np.ndarray) -> bytes:
+    """Sorted distinct 64-bit names, about 5.6 bytes each where a million spread over all values."""
+    high = (keys >> np.uint64(LOW)).astype(np.int64)
+    step = np.diff(high, prepend=0)
+    large = np.flatnonzero(step > 254)
+    steps = _squeeze(np.minimum(step, 255).astype(np.uint8))
+    rest = _squeeze(step[large].astype(np.int32))
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
+    return b"".join(len(x).to_bytes(4, "little") + x for x in (steps, rest, low))
+
+
+def decode_names(data: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    step = _unsqueeze(parts[0], np.uint8).astype(np.int64)
+    step[step == 255] = _unsqueeze(parts[1], np.int32)
+    out = np.zeros((len(step), 8), np.uint8)
+    out[:, : LOW // 8] = np.frombuffer(parts[2], np.uint8).reshape(-1, LOW // 8)
+    return out.reshape(-1).view("<u8") + (np.cumsum(step).astype(np.uint64) << np.uint64(LOW))
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    small, large = tk.pack(counts)
+    small = _squeeze(np.frombuffer(small, np.uint8))
+    return len(small).to_bytes(4, "little") + small + large
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return tk.unpack(_unsqueeze(data[4 : 4 + n], np.uint8).tobytes(), data[4 + n :])
 
 
 def _learned(table: pa.Table) -> np.ndarray:
@@ -163,99 +244,68 @@ def score_texts(
     held = F.coalesce(held_out, F.lit(False))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), math.ceil(n_bytes / partition_bytes))
-    dealt = docs.select(
-        "doc_id", "text", held.alias("held_out"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"),
-    )
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    dealt = pack_chunks(docs.select("doc_id", "text", held.alias("held_out"), size.alias("bytes")), partition_bytes)
+
+    def counted(table: pa.Table):
+        """(rows, first, depth, one (keys, where, counts) an order) of a chunk."""
+        rows = unpacked(table)
+        grams, first, depth = _grams(rows, order)
+        weights = np.repeat(_learned(rows), np.diff(first)).astype(np.float64)
+        return rows, first, depth, [_counted(g, weights) for g in grams]
 
     @tk.frugal
     def send(table: pa.Table) -> pa.Table:
-        grams, first, _ = _grams(table, order)
-        learned, out = _learned(table), []
-        for k in range(order):
-            keys, _, counts = _keys(grams, first, learned, k, n)
-            edges = np.searchsorted(keys >> np.uint64(32) if k else tk.bucket_of(keys, n), np.arange(n + 1))
-            keys = keys.astype(np.uint32) if k else keys
+        out, chunk = [], table["chunk"][0].as_py()
+        for k, (keys, _, counts) in enumerate(counted(table)[3]):
+            edges = np.searchsorted(tk.bucket_of(keys, n), np.arange(n + 1))
             for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if j > i or not k:
-                    out.append((table["part"][0].as_py(), b, k, keys[i:j].tobytes(), *tk.pack(counts[i:j])))
+                if j > i or not k:  # of words every bucket is asked, for its sums
+                    out.append((chunk, b, k, encode_names(keys[i:j]), _pack(counts[i:j])))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), sent_types, strict=True)], names=sent_names)
 
-    sent_names = ["part", "bucket", "k", "keys", "small", "large"]
-    sent_types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    sent_names = ["chunk", "bucket", "k", "keys", "counts"]
+    sent_types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     @tk.frugal
     def answer(table: pa.Table) -> pa.Table:
-        kind = np.uint32 if table["k"][0].as_py() else np.uint64
-        keys = [np.frombuffer(x, kind) for x in table["keys"].to_pylist()]
-        counts = [tk.unpack(*x) for x in zip(table["small"].to_pylist(), table["large"].to_pylist(), strict=True)]
+        keys = [decode_names(x) for x in table["keys"].to_pylist()]
+        counts = np.concatenate([_unpack(x) for x in table["counts"].to_pylist()])
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
+        total = np.bincount(where, counts, len(every)).astype(np.int64)
         words = total[every != tk.BEGIN] if table["k"][0].as_py() == 0 else total[:0]
-        back, at = [], 0
-        for x in keys:
-            back.append(tk.pack(total[where[at : at + len(x)]]))
-            at += len(x)
-        rows = len(keys)
+        back = [_pack(x) for x in np.split(total[where], np.cumsum([len(x) for x in keys])[:-1])]
         return pa.Table.from_arrays(
-            [table["part"], table["bucket"], table["k"], pa.array([x for x, _ in back], pa.binary()), pa.array([x for _, x in back], pa.binary()),
-             *[pa.array([int(x.sum())] * rows, pa.int64()) for x in (words, words > 0, words == 1, words == 2)]],
-            names=["part", "bucket", "k", "small", "large", "n", "v", "n1", "n2"],
+            [table["chunk"], table["bucket"], table["k"], pa.array(back, pa.binary()),
+             *[pa.array([int(x.sum())] * len(keys), pa.int64()) for x in (words, words > 0, words == 1, words == 2)]],
+            names=["chunk", "bucket", "k", "counts", "n", "v", "n1", "n2"],
         )
 
     @tk.frugal
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, first, depth = _grams(table, order)
-        learned = _learned(table)
+        rows, first, depth, parts = counted(table)
         told = answers.sort_by([("k", "ascending"), ("bucket", "ascending")])
-        k_of = told["k"].to_numpy()
-        n_all, v_all, once, twice = (sum(told[c].to_pylist()) for c in ("n", "v", "n1", "n2"))
-        small, large = told["small"].to_pylist(), told["large"].to_pylist()
-        seen = []
-        for k in range(order):
-            _, where, _ = _keys(grams, first, learned, k, n)
-            rows = np.flatnonzero(k_of == k)
-            total = np.concatenate([tk.unpack(small[i], large[i]) for i in rows]) if len(rows) else np.empty(0, np.int64)
-            c = total[where]
-            if k:
-                c[depth < k] = 0
-            seen.append(c)
-        # every position but BEGIN is a step; the carried state is the longest seen context before it
-        base = (seen[0] + 1) / (n_all + v_all + 1)
-        arcs = [unigram(seen[0], n_all, v_all, discount(once, twice))]
-        fails: list[np.ndarray] = []
-        for k, s in enumerate(strengths, 1):
-            context = np.zeros(len(base))
-            context[1:] = seen[k - 1][:-1]
-            context[depth < k] = 0
-            weight = s / (context + s)
-            arcs.append((seen[k] + s * arcs[-1]) / (context + s))
-            fails.append(weight)
-        log = np.zeros(len(base))
-        todo = np.ones(len(base), bool)
-        for k in range(order - 1, 0, -1):  # from the longest context down the failure arcs
-            taken = todo & (seen[k] > 0)
-            log[taken] += np.log10(arcs[k][taken])
-            todo &= ~taken
-            log[todo] += np.log10(fails[k - 1][todo])
-        log[todo] += np.log10(arcs[0][todo])
-        step = depth > 0
-        known = ((seen[0] > 0) & step).astype(np.int64)
+        k_of, back = told["k"].to_numpy(), told["counts"].to_pylist()
+        ends = tuple(sum(told[c].to_pylist()) for c in ("n", "v", "n1", "n2"))
+        total = [np.concatenate([_unpack(back[i]) for i in np.flatnonzero(k_of == k)]) for k in range(order)]
+        if any(len(t) != len(keys) for t, (keys, _, _) in zip(total, parts, strict=True)):
+            raise RuntimeError("a chunk got counts for other n-grams than its own")
+        automaton = Automaton([where for _, where, _ in parts], depth, total, strengths, ends)
+        step, seen = depth > 0, total[0][parts[0][1]]
+        base = np.log10((seen + 1) / (ends[0] + ends[1] + 1))
         add = lambda x: np.add.reduceat(x, first[:-1])
         return pa.Table.from_arrays(
-            [table["doc_id"], table["held_out"], pa.array(np.diff(first) - 1), pa.array(add(known)),
-             pa.array(np.full(len(table), n_all)), pa.array(np.full(len(table), v_all)),
-             pa.array(add(np.where(step, np.log10(base), 0.0))), pa.array(add(np.where(step, log, 0.0)))],
+            [rows["doc_id"], rows["held_out"], pa.array(np.diff(first) - 1), pa.array(add(((seen > 0) & step).astype(np.int64))),
+             pa.array(np.full(len(rows), ends[0])), pa.array(np.full(len(rows), ends[1])),
+             pa.array(add(np.where(step, base, 0.0))), pa.array(add(automaton.traverse()))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "train_types", "base_score", "score"],
         )
 
-    sent = dealt.groupBy("part").applyInArrow(
-        send, "part int, bucket int, k int, keys binary, small binary, large binary"
-    )
+    sent = dealt.groupBy("chunk").applyInArrow(send, "chunk long, bucket int, k int, keys binary, counts binary")
     answers = sent.groupBy("bucket", "k").applyInArrow(
-        answer, "part int, bucket int, k int, small binary, large binary, n long, v long, n1 long, n2 long"
+        answer, "chunk long, bucket int, k int, counts binary, n long, v long, n1 long, n2 long"
     )
-    both = dealt.groupBy("part").cogroup(answers.groupBy("part"))
+    both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return both.applyInArrow(
         read,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, train_types long,"

@@ -131,6 +131,37 @@ def test_lm(spark):
     assert lm_scoring.score_texts(empty(spark), held).count() == 0
 
 
+def test_names_are_sent_whole():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 9), (1, 9), (5, 2**64 - 1), (3000, 2**64 - 1), (40_000, 2**50)):
+        keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        assert (lm_scoring.decode_names(lm_scoring.encode_names(keys)) == keys).all()
+        counts = rng.integers(0, 600, n)
+        assert (lm_scoring._unpack(lm_scoring._pack(counts)) == counts).all()
+
+
+def test_lm_is_the_automaton_on_every_row_however_partitioned(spark):
+    """All documents of sf0.01, in chunks and buckets of two sizes, against explicit states and arcs."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)]
+    rows = [(r["doc_id"], lower(r["text"])) for r in d.collect()]
+    model = lm_scoring.BackoffAutomaton([w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2], (1024.0, 16.0))
+    want = {i: model.score(w) for i, w in rows}
+    found = []
+    for n, size in ((2, 8 << 20), (64, 100_000)):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = lm_scoring.score_texts(d, held, partition_bytes=size).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert len(got) == len(rows)
+        found.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in got})
+        assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)
+    assert all(a == pytest.approx(found[1][i], abs=1e-9) for i, a in found[0].items())
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -160,6 +191,51 @@ def test_shards(spark, hot):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("n_shards", "hot"), [(24, False), (24, True), (7, False), (1, False), (60, True)])
+def test_shards_are_those_of_a_plain_tree(spark, n_shards, hot):
+    """The tree by sorting, on the same keys; slack 0, so cuts are exact."""
+    rng = random.Random(n_shards)
+    rows = ["same text " * 9] * 300 if hot else []
+    d = docs(spark, rows + [" ".join(rng.choices("abcdef", k=rng.randint(1, 60))) for _ in range(500)] + [None, ""])
+    keys, n = sharding.placed(d, n_shards, 0.0)
+    rows = [r.asDict() for r in keys.collect()]
+    assert n == len(rows) == d.count()
+    dims = list(sharding.DIMENSIONS)
+    by = lambda r, k: ((r[f"v_{dims[k]}"] << 20) + r["by_text"], r["by_row"])
+
+    def split(part, first, leaves):
+        if leaves == 1 or not part:
+            assert all(r["node"] == first for r in part) or leaves > 1
+            return
+        spans = [max(r[f"v_{x}"] for r in part) - min(r[f"v_{x}"] for r in part) for x in dims]
+        dim = spans.index(max(spans))
+        part = sorted(part, key=lambda r: by(r, dim))
+        goal, left = sum(r["size"] for r in part) * (leaves // 2) / leaves, leaves // 2
+        at, sofar, groups = 0, 0, []
+        while at < len(part):  # rows with one key are not divided
+            end = at
+            while end < len(part) and by(part[end], dim) == by(part[at], dim):
+                end += 1
+            groups.append((at, end, sofar, sofar + sum(r["size"] for r in part[at:end])))
+            at, sofar = end, groups[-1][3]
+        start, end, lo, hi = next(g for g in groups if g[3] >= goal)
+        here = end if hi - goal < goal - lo else start
+        assert {r["node"] < first + left for r in part[:here]} <= {True} and {r["node"] >= first + left for r in part[here:]} <= {True}
+        split(part[:here], first, left)
+        split(part[here:], first + left, leaves - left)
+
+    split(rows, 0, n_shards)
+
+
+def test_shards_by_target(spark):
+    d = docs(spark)
+    total = sum(len((r["text"] or "").encode()) + 8 for r in d.collect())
+    got = sharding.shard(d, target_bytes=total // 5).collect()
+    assert {r["shard"] for r in got} <= set(range(6)) and len(got) == d.count()
+    clash = sharding.shard(d.withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y")), n_shards=3)
+    assert clash.columns == sharding.shard(d).columns and clash.count() == d.count()
+
+
 def test_line_dedup(spark):
     shared = "\n".join(f"shared line number {i} of a long passage." for i in range(12))
     long = " ".join(f"word{i}" for i in range(60)) + "."
@@ -354,7 +430,7 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     rows += [(300 + i, [0.5] * 8) for i in range(12)] + [(400, None), (401, []), (402, [float("nan")] * 8), (403, [None] * 8), (404, [float("inf")] * 8), (405, [1.0, 2.0]), (None, [1.0] * 8)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash"))
-    got = topk_search.top_k(d, F.col("vec_id") % 50 == 0, k=5, query_block=3, shard_rows=64).collect()
+    got = topk_search.top_k(d, F.col("vec_id") % 50 == 0, k=5, shard_rows=64).collect()
     good = {i: [math.floor(256 * x) for x in v] + [0] * (8 - len(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in (i for i in good if i % 50 == 0):
@@ -364,3 +440,42 @@ def test_top_k(spark):
     assert topk_search.top_k(d.where("false"), F.col("vec_id") % 50 == 0).count() == 0
     few = topk_search.top_k(d.where("vec_id < 3"), F.col("vec_id") % 50 == 0)
     assert few.count() == 2
+
+
+def test_top_k_stops_on_proof_and_only_then():
+    rng = np.random.default_rng(7)
+    ids = np.arange(4000)
+    sparse = np.where(rng.random((4000, 32)) < 0.05, rng.integers(-400, 400, (4000, 32)), 0)
+    sparse[:6] = 5 * np.sign(sparse[6]) * 300 + 900  # some candidates stand out, others can't reach them
+    flat = rng.integers(-300, 300, (4000, 32))
+    for vectors, early in ((sparse, True), (flat, False)):
+        block = topk_search.Block(ids, vectors)
+        every = sum(len(x) for _, x in block.levels)
+        queries = np.concatenate([np.full((1, 32), 200), rng.integers(-300, 300, (5, 32))])
+        queries = queries[:1] if early else queries
+        can, read = block.search(queries.astype(float), ids[:, None] == np.full(len(queries), -1), np.full(len(queries), -np.inf), 5)
+        assert (read < every) == early or not early
+        for q, at in zip(queries, can, strict=True):
+            scores = vectors @ q
+            assert set(np.lexsort((ids, -scores))[:5]) <= set(at.tolist())
+    # the bound after every level holds for every candidate
+    block = topk_search.Block(ids, flat)
+    sums = np.zeros(4000)
+    q = rng.integers(-300, 300, 32).astype(float)
+    for (impact, segments), lacking in zip(block.levels, block.lacking[1:], strict=True):
+        for d, rows in segments:
+            sums[rows] += impact * q[d]
+        assert (np.abs(flat @ q - sums) <= np.sqrt((q**2).sum()) * lacking + 1e-6).all()
+
+
+def test_top_k_of_repeated_ids_and_of_scores_beyond_64_bits(spark):
+    rows = [(50, [1.0, 2.0])] * 300 + [(7, [1.0, 2.0])] * 3 + [(8, [3.0])] + [(100, [1e15, 1e15]), (101, [1e15, -1.0]), (102, [-1e15, -1e15])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(d, F.col("vec_id") % 50 == 0, k=5, shard_rows=16).collect()]
+    v = lambda i: [int(256 * x) for x in dict(rows)[i]] + [0]
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q in (50, 100):
+        scored = sorted((-hold(sum(a * b for a, b in zip(v(q), v(i)))), i) for i, _ in rows if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert sorted(got) == sorted(want)
