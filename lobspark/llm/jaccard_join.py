@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Documents are dealt to partitions by hash. A partition sends its distinct shingles (32
-   bits within hash buckets) with document counts and gets back corpus-wide counts, as
-   one byte each. Counts only order shingles, so shared bits make a shingle look less
+1. Documents are packed into chunks of a bounded size as they are read, so equal rows are
+   spread like others. A chunk sends its distinct shingles (32 bits within hash buckets)
+   with document counts and gets back corpus-wide counts, as one byte each. Counts only order shingles, so shared bits make a shingle look less
    rare and lose nothing.
 2. Each document's shingles are put in (count, hash) order. Those in its prefix that some
    other document has as well become postings; equal sets are one node.
@@ -19,7 +19,8 @@ a filter or already connected.
 Defined results: a null or blank text has no shingles and is alone; with fewer words than
 a shingle the whole sequence is one; rows with null ids take part, and a component whose
 ids are all null has a null id; repeated rows share a component; further columns are not
-read; an empty table gives an empty table. Sets are compared by 64-bit shingle hashes.
+read; a very long text is a chunk of its own, linear in its words but for sorting; an empty
+table gives an empty table. Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from lobspark.llm import tokens as tk
 from lobspark.llm.common import cut, partitions
+from lobspark.llm.chunks import pack_chunks, unpacked
 from lobspark.llm.graph import components
 
 _NEXT = np.uint64(0xA0761D6478BD642F)
@@ -87,20 +89,20 @@ def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8
     """
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), math.ceil(n_bytes / partition_bytes))
-    row_key = F.xxhash64("doc_id", "text")
-    dealt = docs.select("doc_id", "text", row_key.alias("row_key"), F.pmod(row_key, F.lit(parts)).cast("int").alias("part"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 24
+    dealt = pack_chunks(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), size.alias("bytes")), partition_bytes)
 
     @tk.frugal
     def send(table: pa.Table) -> pa.Table:
-        keys, _, counts = _posts(*shingles(table["text"], n), parts)
+        keys, _, counts = _posts(*shingles(unpacked(table)["text"], n), parts)
         edges = np.searchsorted(keys >> np.uint64(32), np.arange(parts + 1))
-        own, rows = table["part"][0].as_py(), []
+        own, rows = table["chunk"][0].as_py(), []
         for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if j > i:
                 low = (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 rows.append((own, b, low.tobytes(), *tk.pack(counts[i:j])))
-        part, bucket, low, small, large = zip(*rows, strict=True) if rows else ((),) * 5
-        return _table({"part": (part, pa.int32()), "bucket": (bucket, pa.int32()), "keys": (low, pa.binary()), "small": (small, pa.binary()), "large": (large, pa.binary())})
+        chunk, bucket, low, small, large = zip(*rows, strict=True) if rows else ((),) * 5
+        return _table({"chunk": (chunk, pa.int64()), "bucket": (bucket, pa.int32()), "keys": (low, pa.binary()), "small": (small, pa.binary()), "large": (large, pa.binary())})
 
     @tk.frugal
     def answer(table: pa.Table) -> pa.Table:
@@ -111,11 +113,12 @@ def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8
         back = [tk.pack(x) for x in np.split(total, np.cumsum([len(x) for x in keys])[:-1])]
         small, large = zip(*back, strict=True)
         return pa.Table.from_arrays(
-            [table["part"], table["bucket"], pa.array(small, pa.binary()), pa.array(large, pa.binary())], names=["part", "bucket", "small", "large"]
+            [table["chunk"], table["bucket"], pa.array(small, pa.binary()), pa.array(large, pa.binary())], names=["chunk", "bucket", "small", "large"]
         )
 
     @tk.frugal
     def order(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = unpacked(table)
         rows = len(table)
         doc, key = shingles(table["text"], n)
         _, where, _ = _posts(doc, key, parts)
@@ -147,9 +150,9 @@ def prefixes(docs: DataFrame, *, n: int, percent: int, partition_bytes: int = 8
             "members": (members, pa.binary()),
         })
 
-    sent = dealt.groupBy("part").applyInArrow(send, "part int, bucket int, keys binary, small binary, large binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "part int, bucket int, small binary, large binary")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+    sent = dealt.groupBy("chunk").applyInArrow(send, "chunk long, bucket int, keys binary, small binary, large binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, small binary, large binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         order,
         "doc_id long, row_key long, node long, n_shingles long, keys array<long>, places array<int>, sizes array<int>, members binary",
     )
@@ -200,8 +203,10 @@ def similar(docs: DataFrame, *, n: int = 5, percent: int = 80, partition_bytes:
     pair = lambda x, y: (F.greatest(f"{x}.node", f"{y}.node").alias("a"), F.least(f"{x}.node", f"{y}.node").alias("b"))
 
     lead = F.min(F.struct("place", "n_shingles", "node", "sizes")).alias("lead")
-    leaders = posts.groupBy("key").agg(lead, F.count("*").alias("m")).where("m > 1").select("key", "lead.*")
-    near = posts.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _passes(percent, "x", "y"))
+    leaders = posts.groupBy("key").agg(lead, F.count("*").alias("m")).where("m > 1").select(F.bitwise_not("key").alias("other"), "lead.*")
+    # aggregates meet postings by the key's complement: both sides are dealt anew and Spark can split a hot shingle
+    met = F.bitwise_not("x.key") == F.col("y.other")
+    near = posts.alias("x").join(leaders.alias("y"), met & (F.col("x.node") != F.col("y.node")) & _passes(percent, "x", "y"))
     first = cut(near.select(*pair("x", "y")).distinct(), "pairs")
     links = cut(_verified(first, nodes, percent), "links")
     labels = cut(components(links), "labels")
@@ -209,8 +214,8 @@ def similar(docs: DataFrame, *, n: int = 5, percent: int = 80, partition_bytes:
     posts = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     posts = cut(posts, "posts")
     lists = posts.groupBy("key").agg(F.min(F.struct("place", "n_shingles", "node", "label")).alias("l"), F.min("label").alias("p"), F.max("label").alias("q"))
-    lists = lists.where("p <> q").select("key", F.col("l.node").alias("lead"), F.col("l.label").alias("main"))
-    rest = posts.join(lists, "key")
+    lists = lists.where("p <> q").select(F.bitwise_not("key").alias("other"), F.col("l.node").alias("lead"), F.col("l.label").alias("main"))
+    rest = cut(posts.join(lists, F.bitwise_not("key") == F.col("other")).drop("other"), "rest")
     others = rest.where("label <> main")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("y.node") != F.col("y.lead"))
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
