@@ -8,7 +8,7 @@ intervals of one domain are disjoint, so a capture meets at most one of each dom
 Defined results: a null or unparsable url has no host and is never blocked; a null fetch
 time is never inside an interval; several entries of one domain at the same time count
 as one, removal winning; entries with a null domain or time are left out; repeated
-captures are each judged; further columns stay, but those named like a result are replaced; empty tables give empty or unblocked rows.
+captures are each judged; a very long url is one row's work; further columns stay, but those named like a result are replaced; empty tables give empty or unblocked rows.
 """
 
 from __future__ import annotations
@@ -53,14 +53,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetch
     """captures with ``host``, ``blocked``, ``blocked_by`` (most specific domain), ``reason``.
 
     Distinct (host, time) pairs are judged, so a hot host is looked up once a fetch
-    time; the verdicts then join back. Only blocked pairs travel.
+    time; the verdicts then join back. Only blocked pairs travel. Keys meet as structs: a side
+    that an aggregate or window has dealt by them is dealt anew, so Spark can split hot ones.
     """
     hosted = captures.drop("blocked", "blocked_by", "reason").withColumn("host", host(F.col(url)))
     pairs = hosted.where("host is not null").select("host", F.col(fetched).alias("__at")).distinct()
     looked = pairs.withColumn("domain", F.explode(domains(F.col("host"))))
     valid = intervals(entries)
     active = (
-        (looked["domain"] == valid["domain"])
+        (F.struct(looked["domain"].alias("d")) == F.struct(valid["domain"].alias("d")))
         & (F.col("__at") >= F.col("valid_from"))
         & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to")))
     )
@@ -68,7 +69,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetch
     found = hits.groupBy(F.col("host").alias("__host"), "__at").agg(
         F.max(F.struct(F.length("domain").alias("n"), "domain", "reason")).alias("__hit")
     )
-    out = hosted.join(found, (hosted["host"] == found["__host"]) & (hosted[fetched] == found["__at"]), "left")
+    pair = lambda host, at: F.struct(host.alias("h"), at.alias("t"))
+    out = hosted.join(found, pair(hosted["host"], hosted[fetched]) == pair(found["__host"], found["__at"]), "left")
     return out.select(
         *[hosted[c] for c in hosted.columns],
         F.col("__hit").isNotNull().alias("blocked"),
