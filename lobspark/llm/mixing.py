@@ -9,9 +9,12 @@ Only (source, shard) groups of a bounded number of words are sorted, so a source
 holds a third of all rows is split over many tasks. Work on one row a source or shard
 is the only work done in windows over a source.
 
-Defined results: a null text has no words; a null source is a source and sorts last;
-equal documents are ordered by id and then interchangeable; further columns are not
-read. An empty table gives an empty table.
+Sources are few: the targets are worked out in one task over a row a source, and a
+source's quotas in one over a row a shard (most_shards at most).
+
+Defined results: a null text has no words; a null source is a source and sorts last; very
+long texts are cut at a block's edge like others; equal rows are counted, not sorted, and
+interchangeable; further columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -107,8 +110,9 @@ def mix(
         F.col("source").cast("string").alias("source"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
     )
-    slim = cut(slim, "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # equal rows are one row with a number of copies until they get their shares
+    slim = cut(slim.groupBy("doc_id", "size", "source", "draw").agg(F.count("*").alias("n")), "mix-sizes")
+    sizes = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(sizes, weights, share, most)
     one = Window.partitionBy(F.lit(0))
     goal = goal.withColumns(
@@ -127,7 +131,7 @@ def mix(
     placed = slim.join(goal, same).drop(goal["source"])
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("n_shards")))
     shards = placed.groupBy("source_no", "shard").agg(
-        F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats")
+        F.sum(F.col("size") * F.col("n")).alias("shard_size"), F.first("source_seats").alias("source_seats")
     )
     blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.round(F.col("shard_size") / block_words)))
     shards = shards.withColumn("blocks", F.coalesce(blocks, F.lit(0)).cast("long"))
@@ -145,9 +149,16 @@ def mix(
         edge("greatest(start + run - blocks, 0)").alias("b2"),
     )
     order = Window.partitionBy("source_no", "shard").orderBy("draw", "doc_id", "size")
-    placed = placed.withColumn("hi", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("lo", F.col("hi") - F.col("size"))
+    own = F.col("size") * F.col("n")
+    placed = placed.withColumn("lo", F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, 0)) - own)
     taken = placed.join(shards, ["source_no", "shard"], "left")
+    # the copies again, each with its own words of the shard; in two steps, so that no array is long
+    some = 1 << 16
+    taken = taken.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / some))))
+    left = F.least(F.lit(some), F.col("n") - F.col("i") * some)
+    taken = taken.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), left - 1)))
+    taken = taken.withColumn("lo", F.col("lo") + (F.col("i") * some + F.col("j")) * F.col("size"))
+    taken = taken.withColumn("hi", F.col("lo") + F.col("size"))
     # the run of blocks wraps around the shard's end: [a1, b1) and [0, b2)
     first = _overlap(F.col("lo"), F.col("hi"), F.col("a1"), F.col("b1"))
     second = _overlap(F.col("lo"), F.col("hi"), F.lit(0), F.col("b2"))
