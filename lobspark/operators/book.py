@@ -84,16 +84,30 @@ def changes(deltas: DataFrame, order: str = "seq") -> DataFrame:
     return d.withColumns({"change": kind, "drop": F.greatest(F.col("was") - F.col("size"), F.lit(0.0))})
 
 
-def at_marks(deltas: DataFrame, marks: DataFrame, mark: str, order: str = "seq") -> DataFrame:
+def at_marks(deltas: DataFrame, marks: DataFrame, mark: str, order: str = "seq", width: int = 1 << 20) -> DataFrame:
     """Live levels at each mark of marks (symbol, mark, seq): an as-of read of many times.
 
-    Each level's writes become validity intervals, so a mark meets each level once.
+    A write counts for the first mark at or behind it. Marks become stretches of the order,
+    which stand in every bin of width that they reach into, so writes meet them by (symbol,
+    bin) and a hot symbol is many tasks. Of each level the last write a mark is kept, map-side
+    first, and holds until the next mark that has one.
     """
-    w = Window.partitionBy(*KEYS).orderBy(order)
-    spans = deltas.withColumn("until", F.lead(order).over(w)).where("size > 0")
-    m = marks.select(F.col("symbol").alias("m_symbol"), mark, F.col(order).alias("m_seq"))
-    inside = (F.col("symbol") == F.col("m_symbol")) & (F.col(order) <= F.col("m_seq")) & (F.col("until").isNull() | (F.col("until") > F.col("m_seq")))
-    return spans.join(m, inside).select("symbol", mark, "is_bid", "price", "size")
+    by_seq = Window.partitionBy("symbol").orderBy(order, mark)
+    lows = deltas.groupBy("symbol").agg(F.min(order).alias("__low"))
+    m = marks.select("symbol", mark, order).withColumns({"__no": F.row_number().over(by_seq), "__after": F.lag(order).over(by_seq)})
+    m = m.withColumn("__n", F.count("*").over(Window.partitionBy("symbol"))).join(lows, "symbol")
+    m = m.withColumn("__after", F.coalesce("__after", F.col("__low") - 1))
+    bin_of = lambda c: F.floor(c / width)
+    reach = F.sequence(bin_of(F.col("__after") + 1), bin_of(F.col(order)))
+    stretches = m.where(F.col(order) > F.col("__after")).select(
+        F.col("symbol").alias("__symbol"), "__no", "__n", "__after", F.col(order).alias("__upto"), F.explode(reach).alias("__bin")
+    )
+    inside = (F.col("symbol") == F.col("__symbol")) & (bin_of(F.col(order)) == F.col("__bin"))
+    hits = deltas.join(stretches, inside & (F.col(order) > F.col("__after")) & (F.col(order) <= F.col("__upto")))
+    last = hits.groupBy(*KEYS, "__no", "__n").agg(F.max_by("size", order).alias("size"))
+    until = F.coalesce(F.lead("__no").over(Window.partitionBy(*KEYS).orderBy("__no")), F.col("__n") + 1)
+    held = last.withColumn("__until", until).where("size > 0").withColumn("__no", F.explode(F.sequence(F.col("__no"), F.col("__until") - 1)))
+    return held.join(m.select("symbol", mark, "__no"), ["symbol", "__no"]).select("symbol", mark, "is_bid", "price", "size")
 
 
 def fifo_left(adds: DataFrame, removed: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lobspark.operators.windows import lagged, numbered, running_max
 
-def gaps(events: DataFrame, *, overlap_allowed: bool = False, by: str = "symbol", order: str = "seq") -> DataFrame:
-    """events with the final id before them and whether the chain breaks there."""
-    was = F.lag("final_update_id").over(Window.partitionBy(by).orderBy(order))
-    d = events.withColumn("prev_seen", was)
+
+def gaps(events: DataFrame, *, overlap_allowed: bool = False, by: str = "symbol", order: str = "seq", width: int = 1 << 20) -> DataFrame:
+    """events with the final id before them and whether the chain breaks there; sorted in blocks of width of order."""
+    d = lagged(events, ["final_update_id"], "prev_seen", by=by, order=order, width=width)
+    d = d.withColumn("prev_seen", F.col("prev_seen.final_update_id"))
     stale = F.col("final_update_id") <= F.col("prev_seen")
     follows = F.col("first_update_id") <= F.col("prev_seen") + 1 if overlap_allowed else F.col("prev_final_update_id") == F.col("prev_seen")
     outcome = F.when(F.col("prev_seen").isNull(), "first").when(stale, "ignored").when(follows, "ok").otherwise("gap")
@@ -31,11 +33,10 @@ def bridge(events: DataFrame, snapshots: DataFrame, width: int = 1024) -> DataFr
     return hit.groupBy("symbol", "last_update_id").agg(F.min_by("final_update_id", "seq").alias("bridge_id"), F.min("seq").alias("bridge_seq"))
 
 
-def arrival_flags(events: DataFrame, hold_ms: int = 20, by: str = "symbol") -> DataFrame:
-    """Out-of-order and late flags against the largest time that arrived before."""
-    w = Window.partitionBy(by).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+def arrival_flags(events: DataFrame, hold_ms: int = 20, by: str = "symbol", width: int = 1 << 20) -> DataFrame:
+    """Out-of-order and late flags against the largest time that arrived before; in blocks of width arrivals."""
     ts = F.greatest(F.col("ts_ms"), F.lit(0))
-    d = events.withColumn("max_seen", F.max(ts).over(w))
+    d = running_max(events, ts, "max_seen", by=by, order="arrival_seq", width=width)
     flag = lambda c: F.coalesce(c, F.lit(False))
     return d.withColumns({"out_of_order": flag(ts < F.col("max_seen")), "late": flag(ts < F.col("max_seen") - hold_ms)})
 
@@ -58,7 +59,7 @@ def orphans(found: DataFrame, listed: DataFrame, key: str = "file_name") -> Data
     return found.join(listed, key, "left_anti")
 
 
-def release_order(events: DataFrame, by: str = "symbol") -> DataFrame:
-    """events (ts_ms, kind, arrival_seq) with their position: by time, trades before depth, then arrival."""
+def release_order(events: DataFrame, by: str = "symbol", block_ms: int = 3_600_000) -> DataFrame:
+    """events (ts_ms, kind, arrival_seq) with their position: by time, trades before depth, then arrival; in time blocks."""
     first = F.when(F.col("kind") == "trade", 0).otherwise(1)
-    return events.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("ts_ms", first, "arrival_seq")))
+    return numbered(events, "position", by=by, order="ts_ms", ties=[first, "arrival_seq"], width=block_ms)

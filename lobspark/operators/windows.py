@@ -26,6 +26,53 @@ def in_blocks(df: DataFrame, ts: str, reach_ms: int, block_ms: int) -> DataFrame
     return df.withColumn("__at", F.explode(copies)).withColumns({"__block": F.col("__at.block"), "__own": F.col("__at.own")}).drop("__at")
 
 
+def _blocks(df: DataFrame, order: str, width: int) -> DataFrame:
+    return df.withColumn("__block", F.floor(F.col(order) / width))
+
+
+def _carried(blocks: DataFrame, by: str, value: Column, over) -> DataFrame:
+    """(by, __block, __carry): what over() makes of the values of the blocks before each one; one row a block."""
+    ends = blocks.groupBy(by, "__block").agg(value.alias("__end"))
+    w = Window.partitionBy(by).orderBy("__block")
+    return ends.select(F.col(by).alias("__by"), F.col("__block").alias("__b"), over(F.col("__end"), w).alias("__carry"))
+
+
+def _with_carry(df: DataFrame, by: str, carried: DataFrame) -> DataFrame:
+    return df.join(carried, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__b")), "left").drop("__by", "__b", "__block")
+
+
+def lagged(df: DataFrame, columns: list[str], out: str, *, by: str, order: str, width: int) -> DataFrame:
+    """df with out: a struct of the columns of the row before, in order, null for the first.
+
+    Rows are sorted in blocks of width of the order's values, and a block's first row gets the
+    last one of the block before it. So a hot key is many tasks; only a row a block meets in one.
+    """
+    row = F.struct(*columns)
+    blocks = _blocks(df, order, width)
+    carried = _carried(blocks, by, F.max_by(row, order), lambda end, w: F.lag(end).over(w))
+    own = F.lag(row).over(Window.partitionBy(by, "__block").orderBy(order))
+    return _with_carry(blocks.withColumn(out, own), by, carried).withColumn(out, F.coalesce(out, "__carry")).drop("__carry")
+
+
+def running_max(df: DataFrame, value: Column, out: str, *, by: str, order: str, width: int) -> DataFrame:
+    """df with out: the greatest value of the rows before, in blocks as in lagged."""
+    blocks = _blocks(df, order, width)
+    sofar = lambda end, w: F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = _carried(blocks, by, F.max(value), sofar)
+    own = F.max(value).over(Window.partitionBy(by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return _with_carry(blocks.withColumn(out, own), by, carried).withColumn(out, F.greatest(out, "__carry")).drop("__carry")
+
+
+def numbered(df: DataFrame, out: str, *, by: str, order: str, ties: list[Column | str], width: int) -> DataFrame:
+    """df with out: the place of each row by order and ties, from 1, in blocks as in lagged."""
+    blocks = _blocks(df, order, width)
+    sofar = lambda end, w: F.sum(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = _carried(blocks, by, F.count(F.lit(1)), sofar)
+    own = F.row_number().over(Window.partitionBy(by, "__block").orderBy(order, *ties))
+    placed = _with_carry(blocks.withColumn(out, own), by, carried)
+    return placed.withColumn(out, (F.col(out) + F.coalesce("__carry", F.lit(0))).cast("int")).drop("__carry")
+
+
 def cvd(trades: DataFrame, windows: dict[str, int] = CVD_WINDOWS, by: str = "symbol", block_ms: int | None = None) -> DataFrame:
     """trades with rolling signed-volume sums; a window's lower edge is inclusive.
 

@@ -10,7 +10,7 @@ from lobspark.functions import names, signals
 from lobspark.operators import book, sequence, windows
 from lobspark.plans import gates, wire_queries
 from lobspark.plans.replay import counters_of, keyframes_of, outputs, replay
-from lobspark.plans.views import deltas, quotes, table, trades, updates
+from lobspark.plans.views import MONTH, deltas, quotes, table, trades, updates
 
 HOUR = 3_600_000
 
@@ -65,7 +65,7 @@ def _year_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyframe_daily(spark: SparkSession, d: str) -> DataFrame:
-    at = book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket")
+    at = book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket", width=MONTH)
     side = lambda flag: F.count(F.when(flag, 1))
     bid = F.col("is_bid")
     return at.groupBy("symbol", "bucket").agg(side(bid).alias("bids"), side(~bid).alias("asks"), F.sum(F.when(bid, F.col("size")).otherwise(0.0)).alias("bid_size"))
@@ -99,14 +99,13 @@ def imbalance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ofi_l1(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("seq")
-    now = [F.col(c) for c in ("bid", "bid_qty", "ask", "ask_qty")]
-    was = [F.lag(c).over(w) for c in ("bid", "bid_qty", "ask", "ask_qty")]
-    return quotes(spark, d).select("symbol", "seq", signals.ofi_l1(*now, *was).alias("ofi_l1"))
+    names_ = ["bid", "bid_qty", "ask", "ask_qty"]
+    q = windows.lagged(quotes(spark, d), names_, "was", by="symbol", order="seq", width=1 << 20)
+    return q.select("symbol", "seq", signals.ofi_l1(*[F.col(c) for c in names_], *[F.col(f"was.{c}") for c in names_]).alias("ofi_l1"))
 
 
 def m_ofi_top5(spark: SparkSession, d: str) -> DataFrame:
-    at = book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket")
+    at = book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket", width=MONTH)
     top = book.top(at, 5, ("symbol", "bucket"))
     depth = lambda flag: F.sum(F.when(flag, F.col("size")).otherwise(0.0))
     sums = top.groupBy("symbol", "bucket").agg(depth(F.col("is_bid")).alias("b"), depth(~F.col("is_bid")).alias("a"))
@@ -177,7 +176,7 @@ def next_part_index(spark: SparkSession, d: str) -> DataFrame:
 def out_of_order_flags(spark: SparkSession, d: str) -> DataFrame:
     t = trades(spark, d).withColumn("arrival_seq", F.col("trade_id") + F.col("user_id") % 5)
     t = t.withColumn("arrival_seq", F.col("arrival_seq") * 10_000_000 + F.col("trade_id"))
-    f = sequence.arrival_flags(t, HOUR // 6)
+    f = sequence.arrival_flags(t, HOUR // 6, width=10_000_000 << 12)
     return f.select("symbol", "trade_id", "out_of_order", "late")
 
 
@@ -301,7 +300,7 @@ def kernel_keyframes(spark: SparkSession, d: str) -> DataFrame:
 
 def crossed_books(spark: SparkSession, d: str) -> DataFrame:
     """Symbols and years whose live book is crossed or locked."""
-    b = book.best(book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket").withColumn("symbol", F.concat_ws("/", "symbol", "bucket")))
+    b = book.best(book.at_marks(deltas(spark, d), _year_marks(spark, d), "bucket", width=MONTH).withColumn("symbol", F.concat_ws("/", "symbol", "bucket")))
     return b.select("symbol", "best_bid", "best_ask", F.coalesce(F.col("best_bid") >= F.col("best_ask"), F.lit(False)).alias("crossed"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lobspark.functions import names
 from lobspark.operators import book, sequence, windows
 from lobspark.plans import gates
-from lobspark.plans.views import deltas, quotes, table, trades
+from lobspark.plans.views import MONTH, deltas, quotes, table, trades
 from lobspark.sources import archive, frames
 
 DAY_MS = 86_400_000
@@ -126,7 +126,7 @@ def top5_flow_join(spark: SparkSession, d: str) -> DataFrame:
     """Price-aligned flow of the five best levels between neighbouring year marks, as a full outer join."""
     w = deltas(spark, d)
     marks = w.groupBy("symbol", F.floor(F.col("day") / 365).alias("bucket")).agg(F.max("seq").alias("seq"))
-    top = book.top(book.at_marks(w, marks, "bucket"), 5, ("symbol", "bucket")).drop("level")
+    top = book.top(book.at_marks(w, marks, "bucket", width=MONTH), 5, ("symbol", "bucket")).drop("level")
     flow = book.aligned_flow(top, "bucket")
     return flow.join(marks.select("symbol", "bucket"), ["symbol", "bucket"], "left_semi")
 

@@ -128,13 +128,20 @@ def create_table(spark: SparkSession, table: str, df: DataFrame) -> None:
         raise ValueError("; ".join(errors))
 
 
-def upsert_batch(table: str, keys: list[str]):
-    """foreachBatch sink that leaves out keys the table has and keeps the first of each batch; safe to repeat."""
+def upsert_batch(table: str, keys: list[str], day: str | None = None):
+    """foreachBatch sink that leaves out keys the table has and keeps the first of each batch; safe to repeat.
+
+    day: a partition column that equal keys share; then only the batch's days of the table are read.
+    """
 
     def write_batch(batch: DataFrame, _: int) -> None:
-        old = batch.sparkSession.table(table).select(*keys)
-        fresh = batch.dropDuplicates(keys).join(old, keys, "left_anti")
-        fresh.write.mode("append").insertInto(table)
+        old = batch.sparkSession.table(table)
+        columns = old.columns  # the insert goes by position
+        if day:
+            low, high = batch.agg(F.min(day), F.max(day)).first()
+            old = old.where(F.col(day).between(low, high))
+        fresh = batch.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+        fresh.select(*columns).write.mode("append").insertInto(table)
 
     return write_batch
 

@@ -37,18 +37,44 @@ def first_of_each(signals: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("event_time")
 
 
-def fan_out(signals: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Every micro-batch to several sinks, computed once."""
+def fan_out(signals: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
+    """Every micro-batch to several sinks, computed once. A sink gets the batch and its id; the id is
+    the same when a batch is sent again after a failure, so a sink that keeps it repeats nothing.
 
-    def send(batch: DataFrame, _: int) -> None:
+    every: how often a batch is flushed ("500 milliseconds"); None takes what is there and ends.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             for sink in sinks:
-                sink(batch)
+                sink(batch, number)
         finally:
             batch.unpersist()
 
-    return signals.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = signals.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def to_table(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink of Parquet folders by batch: a batch that comes again takes the place of its first try."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/p_batch={number}")
+
+    return sink
+
+
+def service_levels(beat: Heartbeat) -> Callable[[DataFrame, int], None]:
+    """A sink of signals that has beat report each batch's share of broken chains and its 99th percentile of latency."""
+
+    def sink(batch: DataFrame, _: int) -> None:
+        broken = F.count(F.when(F.col("outcome") == "resync", 1))
+        n, gaps, p99 = batch.agg(F.count("*"), broken, F.expr("percentile_disc(0.99) within group (order by ingest_to_signal_ms)")).first()
+        if n:
+            beat.report(gaps / n, float(p99 or 0))
+
+    return sink
 
 
 class Heartbeat(StreamingQueryListener):

@@ -4,6 +4,7 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lobspark.config import Settings
@@ -191,3 +192,22 @@ def test_attribution_uses_trades_up_in_order(spark):
     t = spark.createDataFrame([("A", True, 1.0, 0, 6.0)], "symbol string, is_bid boolean, price double, bucket long, traded double")
     got = {r["seq"]: (r["executed"], r["cancelled"]) for r in book.attribute(d, t).collect()}
     assert got == {1: (4.0, 0.0), 2: (2.0, 2.0), 3: (0.0, 1.0), 4: (0.0, 2.0)}
+
+
+def test_blocks_change_nothing(spark):
+    """Lags, running maxima and places in blocks are those of one window a key, for any width."""
+    import random
+
+    rng = random.Random(3)
+    order = rng.sample(range(-500, 4000), 300)
+    rows = [(rng.choice(["a", "b", None]), o, rng.randrange(50), rng.randrange(9)) for o in order]
+    d = spark.createDataFrame(rows, "symbol string, seq long, v long, w long")
+    by = Window.partitionBy("symbol").orderBy("seq")
+    want = d.withColumns({"was": F.lag("v").over(by), "top": F.max("v").over(by.rowsBetween(Window.unboundedPreceding, -1))})
+    places = d.withColumn("at", F.row_number().over(Window.partitionBy("symbol").orderBy("v", "w", "seq")))
+    key = lambda x: sorted(map(str, x.collect()))
+    for width in (1, 7, 100, 10**6):
+        got = windows.lagged(d, ["v"], "was", by="symbol", order="seq", width=width).withColumn("was", F.col("was.v"))
+        got = windows.running_max(got, F.col("v"), "top", by="symbol", order="seq", width=width)
+        assert key(got) == key(want)
+        assert key(windows.numbered(d, "at", by="symbol", order="v", ties=["w", "seq"], width=min(width, 10))) == key(places)

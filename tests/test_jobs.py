@@ -2,8 +2,7 @@
 
 import json
 
-from pyspark.sql import functions as F
-
+from lobspark.sources import archive
 from lobspark.streaming import jobs
 
 
@@ -32,6 +31,34 @@ def test_first_of_each_and_fan_out(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = jobs.first_of_each(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     seen = []
-    q = jobs.fan_out(stream, str(tmp_path / "cp"), lambda b: seen.append(b.count()), lambda b: b.agg(F.max("event_id")).collect())
+    q = jobs.fan_out(stream, str(tmp_path / "cp"), lambda b, i: seen.append((i, b.count())), jobs.to_table(str(tmp_path / "out")))
     q.awaitTermination()
-    assert sum(seen) == 2
+    assert sum(n for _, n in seen) == 2 and sorted({i for i, _ in seen}) == list(range(len({i for i, _ in seen})))
+    out = str(tmp_path / "out")
+    assert spark.read.parquet(out).count() == 2
+    jobs.to_table(out)(rows.limit(1), seen[0][0])  # the same batch again
+    jobs.to_table(out)(rows.limit(1), seen[0][0])
+    assert spark.read.parquet(out).count() == 1 + sum(n for i, n in seen if i != seen[0][0])
+
+
+def test_service_levels_are_reported(spark):
+    said = []
+    sink = jobs.service_levels(jobs.Heartbeat(warn=said.append))
+    signals = [("emit", 5)] * 99 + [("resync", 900)]
+    sink(spark.createDataFrame(signals, "outcome string, ingest_to_signal_ms long"), 0)
+    sink(spark.createDataFrame([("emit", 5)] * 100, "outcome string, ingest_to_signal_ms long"), 1)
+    sink(spark.createDataFrame([], "outcome string, ingest_to_signal_ms long"), 2)
+    assert len(said) == 1 and "loss" in said[0]
+    sink(spark.createDataFrame([("emit", 900)] * 3, "outcome string, ingest_to_signal_ms long"), 3)
+    assert len(said) == 2 and "p99" in said[1]
+
+
+def test_upsert_reads_the_batch_s_days(spark):
+    spark.sql("drop table if exists upserted")
+    spark.createDataFrame([("a", 1, "d1"), ("b", 1, "d2")], "k string, v long, day string").write.partitionBy("day").saveAsTable("upserted")
+    sink = archive.upsert_batch("upserted", ["k", "day"], "day")
+    batch = spark.createDataFrame([("a", 9, "d1"), ("c", 2, "d1"), ("c", 3, "d1")], "k string, v long, day string")
+    for i in (0, 0):
+        sink(batch, i)
+    got = sorted((r["k"], r["v"] if r["k"] != "c" else 0) for r in spark.table("upserted").collect())
+    assert got == [("a", 1), ("b", 1), ("c", 0)]
