@@ -1,4 +1,4 @@
-"""python -m lobspark [--config PROFILE] upload-once [--date YYYY-MM-DD | --today | --yesterday] | maintain"""
+"""python -m lobspark [--config PROFILE] upload-once [--date YYYY-MM-DD | --today | --yesterday] | maintain | collect FOLDER"""
 
 from __future__ import annotations
 
@@ -20,16 +20,23 @@ def arguments(argv: list[str] | None = None, today: date | None = None) -> argpa
     day.add_argument("--today", dest="day", action="store_const", const=today)
     day.add_argument("--yesterday", dest="day", action="store_const", const=today - timedelta(days=1))
     jobs.add_parser("maintain", help="send the day before after every UTC midnight and apply retention")
+    live = jobs.add_parser("collect", help="land the live feed's frames as files, reconnecting for ever")
+    live.add_argument("folder")
     return top.parse_args(argv)
 
 
 def main(argv: list[str] | None = None) -> None:
+    asked = arguments(argv)
+    settings = Settings.from_file(asked.config) if asked.config else Settings.from_env(os.environ)
+    if asked.job == "collect":  # needs no Spark
+        from lobspark.sources import live
+
+        live.run(settings, asked.folder)
+        return
     from pyspark.sql import SparkSession
 
     from lobspark.sources import daily
 
-    asked = arguments(argv)
-    settings = Settings.from_file(asked.config) if asked.config else Settings.from_env(os.environ)
     spark = SparkSession.builder.appName("lobspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if asked.job == "upload-once":
         print(daily.run_day(spark, settings, asked.day))

@@ -63,6 +63,8 @@ class Settings:
     enable_depth_stream: bool = True
     enable_book_ticker_stream: bool = True
     enable_agg_trade_stream: bool = True
+    ws_base_url: str = ""
+    ws_read_idle_timeout_secs: int = 45
     ws_reconnect_backoff_max_secs: int = 30
     ws_reconnect_jitter_bps: int = 1000
     ntp_slew_alpha: float = 0.25
@@ -87,7 +89,7 @@ class Settings:
             raise ValueError(f"contract: {self.contract!r} is neither linear nor inverse")
         if self.contract_size <= 0:
             raise ValueError("contract_size must be positive")
-        for name in ("depth_limit", "reorder_capacity", "chunk_rows", "batch_rows", "flush_ms", "channel_capacity"):
+        for name in ("depth_limit", "reorder_capacity", "chunk_rows", "batch_rows", "flush_ms", "channel_capacity", "ws_read_idle_timeout_secs"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         for name in ("reorder_hold_ms", "trade_alignment_max_lag_ms", "execution_match_lookahead_ms", "snapshot_dump_interval_secs"):

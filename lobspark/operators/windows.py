@@ -73,6 +73,31 @@ def numbered(df: DataFrame, out: str, *, by: str, order: str, ties: list[Column
     return placed.withColumn(out, (F.col(out) + F.coalesce("__carry", F.lit(0))).cast("int")).drop("__carry")
 
 
+def sliding_sum(value: Column, keys: list[str], ts: str, first: int, last: int) -> Column:
+    """Sum of value over ts - first .. ts - last, as the difference of two sums that only grow.
+
+    Spark adds each row once to a growing frame, but all rows of a sliding one again for every
+    row. value must be exact (whole or decimal), or differences would not be.
+    """
+    w = Window.partitionBy(*keys).orderBy(ts)
+    upto = lambda end: F.coalesce(F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+    return upto(-last) - upto(-first - 1)
+
+
+def moments(value: Column, keys: list[str], ts: str, first: int, last: int) -> tuple[Column, Column, Column]:
+    """(count, mean, population sigma) of value over ts - first .. ts - last; null values don't count.
+
+    Sums are of nine decimal places, those of squares of twelve (values of six).
+    """
+    n = sliding_sum(F.when(value.isNotNull(), 1).otherwise(0).cast("long"), keys, ts, first, last)
+    total = sliding_sum(value.cast("decimal(28,9)"), keys, ts, first, last).cast("double")
+    six = value.cast("decimal(19,6)")
+    squares = sliding_sum((six * six).cast("decimal(38,12)"), keys, ts, first, last).cast("double")
+    some = F.when(n > 0, n)
+    spread = F.sqrt(F.greatest(F.lit(0.0), some * squares - total * total)) / some
+    return n, total / some, spread
+
+
 def cvd(trades: DataFrame, windows: dict[str, int] = CVD_WINDOWS, by: str = "symbol", block_ms: int | None = None) -> DataFrame:
     """trades with rolling signed-volume sums; a window's lower edge is inclusive.
 
@@ -83,9 +108,9 @@ def cvd(trades: DataFrame, windows: dict[str, int] = CVD_WINDOWS, by: str = "sym
     trades = in_blocks(trades.where("ts_ms is not null"), "ts_ms", reach, block_ms or 64 * reach)
     signed = signed_qty(F.col("buyer_is_maker"), F.col("qty"))
     signed = F.when(F.abs(signed) > QTY_EPS, signed).otherwise(0.0)
+    exact = signed.cast("decimal(28,9)")
     for name, ms in windows.items():
-        w = Window.partitionBy(by, "__block").orderBy("ts_ms").rangeBetween(-ms, 0)
-        total = F.sum(signed.cast("decimal(28,9)")).over(w).cast("double")
+        total = sliding_sum(exact, [by, "__block"], "ts_ms", ms, 0).cast("double")
         trades = trades.withColumn(name, F.when(F.abs(total) <= QTY_EPS, 0.0).otherwise(total))
     return trades.where("__own").select(*columns, *windows)
 
@@ -99,22 +124,20 @@ def buckets(trades: DataFrame, width_ms: int = 100, by: tuple[str, ...] = ("symb
 
 def level_stats(samples: DataFrame, window_ms: int = 60_000) -> DataFrame:
     """samples (symbol, is_bid, price, ts_ms, seq, size) with mean, population sigma and mu + 2 sigma of earlier ones."""
-    w = Window.partitionBy("symbol", "is_bid", "price").orderBy("ts_ms").rangeBetween(-window_ms, -1)
-    kept = samples.where(F.col("size") > QTY_EPS)
-    n, mean, sigma = F.count("*").over(w), F.avg("size").over(w), F.stddev_pop("size").over(w)
-    return kept.withColumns(
-        {"n_samples": n, "mean_size": mean, "sigma_size": sigma, "threshold": F.when(n >= 2, mean + 2 * sigma)}
-    )
+    keys = ["symbol", "is_bid", "price", "__block"]
+    kept = in_blocks(samples.where(F.col("size") > QTY_EPS), "ts_ms", window_ms, 64 * window_ms)
+    n, mean, sigma = moments(F.col("size"), keys, "ts_ms", window_ms, 1)
+    kept = kept.withColumns({"n_samples": n, "mean_size": mean, "sigma_size": sigma}).where("__own").drop("__own", "__block")
+    return kept.withColumn("threshold", F.when(F.col("n_samples") >= 2, F.col("mean_size") + 2 * F.col("sigma_size")))
 
 
 def average_bbo(quotes: DataFrame, window_ms: int = 60_000, by: str = "symbol") -> DataFrame:
     """quotes with the mean of (bid_qty + ask_qty) / 2 over the samples before each; null without any."""
-    w = Window.partitionBy(by, "__block").orderBy("ts_ms").rangeBetween(-window_ms, -1)
     sample = (F.col("bid_qty") + F.col("ask_qty")) / 2
     sample = F.when(sample > QTY_EPS, sample)
+    n, mean, _ = moments(sample, [by, "__block"], "ts_ms", window_ms, 1)
     blocks = in_blocks(quotes, "ts_ms", window_ms, 64 * window_ms)
-    out = blocks.withColumns({"n_samples": F.count(sample).over(w), "avg_bbo": F.avg(sample).over(w)})
-    return out.where("__own").drop("__own", "__block")
+    return blocks.withColumns({"n_samples": n, "avg_bbo": mean}).where("__own").drop("__own", "__block")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, order: list[str], q: float = 0.99, last: int = 20_000) -> DataFrame:

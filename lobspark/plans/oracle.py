@@ -193,4 +193,20 @@ select symbol, is_bid, round(sum(rest * age) / sum(rest), 6) as age_days, sum(re
 d as (select {_KEYS}, day % 7 as bucket, seq, drop_, sum(drop_) over (partition by {_KEYS}, day % 7 order by seq) as upto from changes where drop_ > 0),
 e as (select d.*, greatest(0, least(drop_, coalesce(traded, 0) - (upto - drop_))) as executed from d left join s on s.symbol = d.symbol and s.is_bid = d.is_bid and s.price = d.price and s.bucket = d.bucket)
 select {_KEYS}, bucket, seq, round(executed, 6) as executed, round(drop_ - executed, 6) as cancelled from e""",
+    "concatenated_lines": f"""with {QUOTES}, k as (select *, unnest([1, 2]) as k from quotes where seq % 7 <> 0 and seq % 10 <> 0)
+select symbol, seq * k as event_ts_ms, seq * k + 1 as recv_ts_ms, '{{}}' as raw_json, false as bad from k
+union all select '', 0, 0, '', true from quotes where seq % 7 <> 0 and seq % 10 = 0""",
+    "base_amounts": f"""with {QUOTES} select symbol, seq, round(case when bid > 0 and bid_qty > 0 then bid_qty else 0 end::double, 9) as linear,
+round(case when bid > 0 and bid_qty > 0 then bid_qty * 100.0::double / bid else 0 end, 9) as inverse from quotes""",
+    "chunk_starts": f"""with {QUOTES} select symbol, seq // 1000 as part, arg_min((seq * 7919) % 100000, seq) as start_ms, min((seq * 7919) % 100000) as least_ms, count(*) as n_rows
+from quotes group by symbol, seq // 1000""",
+    "type_names": """select p_partkey, 'nullable(' || replace(lower(p_brand), ' ', '') || ')' as kind,
+regexp_full_match(case when p_partkey % 3 = 0 then p_name else 't_' || p_partkey end, '[A-Za-z0-9_]+') as is_identifier from part""",
+    "queue_age_top5": f"""with {CHANGES}, a as (select {_KEYS}, seq, day, size - was as size from changes where change in ('add', 'increase')),
+g as (select {_KEYS}, sum(drop_) as removed from changes group by all),
+u as (select a.*, sum(a.size) over (partition by a.symbol, a.is_bid, a.price order by seq) as upto, removed from a join g on g.symbol = a.symbol and g.is_bid = a.is_bid and g.price = a.price),
+l as (select {_KEYS}, sum(least(size, upto - removed)) as size, sum(least(size, upto - removed) * greatest(0, 11000 - day)) * 86400000 as aged from u where least(size, upto - removed) > 0 group by all),
+r as (select *, row_number() over (partition by symbol, is_bid order by case when is_bid then -price else price end) as level from l),
+s as (select symbol, coalesce(sum(aged) filter (is_bid) / sum(size) filter (is_bid), 0) as b, coalesce(sum(aged) filter (not is_bid) / sum(size) filter (not is_bid), 0) as a from r where level <= 5 group by 1)
+select symbol, round(b, 3) as bid_age_ms, round(a, 3) as ask_age_ms, round(case when abs(b + a) > 1e-9 then (b - a) / (b + a) else 0 end, 9) as imbalance from s""",
 }

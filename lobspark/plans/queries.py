@@ -125,9 +125,9 @@ def level_stats_mu2sigma(spark: SparkSession, d: str) -> DataFrame:
 
 def wall_candidates(spark: SparkSession, d: str) -> DataFrame:
     s = book.changes(deltas(spark, d)).withColumn("ts_ms", F.col("day") * 86_400_000)
-    w = Window.partitionBy("symbol", "is_bid", "price").orderBy("ts_ms").rangeBetween(-90 * 86_400_000, -86_400_000)
-    n, mean, sigma = F.count("*").over(w), F.avg("was").over(w), F.stddev_pop("was").over(w)
-    s = s.withColumns({"n": n, "limit": mean + 2 * sigma}).where("n >= 2 and drop > 0 and was >= limit and drop >= 0.8 * was and limit > 0")
+    n, mean, sigma = windows.moments(F.col("was"), ["symbol", "is_bid", "price", "__block"], "ts_ms", 90 * 86_400_000, 86_400_000)
+    s = windows.in_blocks(s, "ts_ms", 90 * 86_400_000, 64 * 90 * 86_400_000)
+    s = s.withColumns({"n": n, "limit": mean + 2 * sigma}).where("__own").where("n >= 2 and drop > 0 and was >= limit and drop >= 0.8 * was and limit > 0")
     score = signals.wall_score(F.col("was"), F.col("drop"), F.col("limit"), F.lit(1.0), F.lit(0.0))
     s = s.withColumn("score", F.round(score, 6))
     best = Window.partitionBy("symbol", "day").orderBy(F.desc("score"), F.desc("is_bid"), "price", "seq")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.functions import names
+from lobspark.functions import names, signals
 from lobspark.operators import book, sequence, windows
 from lobspark.plans import gates
 from lobspark.plans.views import MONTH, deltas, quotes, table, trades
-from lobspark.sources import archive, frames
+from lobspark.sources import archive, frames, legacy
 
 DAY_MS = 86_400_000
 
@@ -177,10 +177,58 @@ def trade_attribution(spark: SparkSession, d: str) -> DataFrame:
     return book.attribute(c.select(*book.KEYS, "bucket", "seq", "drop"), sums).select(*book.KEYS, "bucket", "seq", F.round("executed", 6).alias("executed"), F.round("cancelled", 6).alias("cancelled"))
 
 
+def concatenated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two objects a line, one line in ten broken behind the first: the whole line is bad then; blank lines are none."""
+    q = quotes(spark, d)
+    item = lambda k: F.to_json(
+        F.struct(F.lit(1).alias("schema_version"), "symbol", (F.col("seq") * k).alias("event_ts_ms"), (F.col("seq") * k + 1).alias("recv_ts_ms"), F.lit("{}").alias("raw_json"))
+    )
+    two = F.concat(item(1), F.when(F.col("seq") % 2 == 0, "").otherwise("  "), F.when(F.col("seq") % 10 == 0, "{broken").otherwise(item(2)))
+    rows = legacy.parse_concatenated(q.select(F.when(F.col("seq") % 7 == 0, " ").otherwise(two).alias("value")))
+    whole = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(F.coalesce("symbol", F.lit("")).alias("symbol"), whole("event_ts_ms"), whole("recv_ts_ms"), F.coalesce("raw_json", F.lit("")).alias("raw_json"), "bad")
+
+
+def base_amounts(spark: SparkSession, d: str) -> DataFrame:
+    q = quotes(spark, d)
+    amount = lambda kind: F.round(signals.base_amount(F.col("bid"), F.col("bid_qty"), kind), 9)
+    return q.select("symbol", "seq", amount("linear").alias("linear"), amount("inverse").alias("inverse"))
+
+
+def chunk_starts(spark: SparkSession, d: str) -> DataFrame:
+    """A part begins at the time of its first event in order, which need not be its least."""
+    q = quotes(spark, d).withColumn("ts", (F.col("seq") * 7919) % 100_000)
+    parts = q.groupBy("symbol", F.floor(F.col("seq") / 1000).alias("part"))
+    return parts.agg(F.min_by("ts", "seq").alias("start_ms"), F.min("ts").alias("least_ms"), F.count("*").alias("n_rows"))
+
+
+def type_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    kind = F.concat(F.lit("  Nullable( "), F.col("p_brand"), F.lit(" )\t"))
+    word = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("t_"), F.col("p_partkey").cast("string")))
+    return p.select("p_partkey", names.type_name(kind).alias("kind"), names.valid_identifier(word).alias("is_identifier"))
+
+
+def queue_age_top5(spark: SparkSession, d: str) -> DataFrame:
+    """Size-weighted age of the five best levels' queues of each side at day 11000, and the sides' balance."""
+    c = book.changes(deltas(spark, d))
+    adds = c.where("change in ('add', 'increase')").select(*book.KEYS, "seq", "day", (F.col("size") - F.col("was")).alias("size"))
+    gone = c.groupBy(*book.KEYS).agg(F.sum("drop").alias("removed"))
+    chunk = F.struct(F.col("left").alias("size"), (F.col("day") * DAY_MS).alias("added_ts"))
+    levels = book.fifo_left(adds, gone).where("left > 0").groupBy(*book.KEYS).agg(F.collect_list(chunk).alias("queue"), F.sum("left").alias("size"))
+    levels = levels.withColumn("age", signals.level_age_ms(F.col("queue"), F.lit(11_000 * DAY_MS)))
+    side = lambda flag: F.sum(F.when(flag, F.col("age") * F.col("size"))) / F.sum(F.when(flag, F.col("size")))
+    bid, ask = side(F.col("is_bid")), side(~F.col("is_bid"))
+    out = book.top(levels, 5).groupBy("symbol").agg(F.coalesce(bid, F.lit(0.0)).alias("b"), F.coalesce(ask, F.lit(0.0)).alias("a"))
+    balance = F.when(F.abs(F.col("b") + F.col("a")) > 1e-9, (F.col("b") - F.col("a")) / (F.col("b") + F.col("a"))).otherwise(0.0)
+    return out.select("symbol", F.round("b", 3).alias("bid_age_ms"), F.round("a", 3).alias("ask_age_ms"), F.round(balance, 9).alias("imbalance"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         frame_routes, trade_frames, quote_frames, depth_frames, snapshot_arrays, gate_archive, gate_upload, log_reports, ntp_times, avg_bbo_size,
         top5_flow_join, release_order, manifest_rows, expired_files, jsonl_rows, level_age, trade_attribution,
+        concatenated_lines, base_amounts, chunk_starts, type_names, queue_age_top5,
     )
 }

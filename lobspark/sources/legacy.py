@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS = "schema_version int, symbol string, event_ts_ms long, recv_ts_ms long, raw_json string, bad boolean"
 
 
-def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all objects; a line with anything unreadable gives one row with bad true, blank lines none.
+def parse_concatenated(lines: DataFrame) -> DataFrame:
+    """(value) lines to rows of all objects; a line with anything unreadable gives one row with bad true, blank lines none.
 
     Spark's own JSON reader keeps only the first object of such a line.
     """
@@ -37,4 +37,8 @@ def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
             names = ["schema_version", "symbol", "event_ts_ms", "recv_ts_ms", "raw_json", "bad"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return spark.read.text(path).mapInArrow(parse, ROWS)
+    return lines.select("value").mapInArrow(parse, ROWS)
+
+
+def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
+    return parse_concatenated(spark.read.text(path))
