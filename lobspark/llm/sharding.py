@@ -7,7 +7,9 @@ passes look into that bin only, until the cut misses its mark by no more than th
 or is exact. A node's histogram becomes one array, no longer than a digit has values; one
 row a node and dimension comes to the driver, and one row a node goes out again, in a
 table that a broadcast join puts beside the keys: its rows are proven to be n_shards at
-most. Plans do not grow with the number of shards, and no pass sorts or moves the keys.
+most. Each level's nodes are written with the keys, so plans grow neither with the number
+of shards nor with the levels, and a pass has the code of the same pass a level before. No
+pass sorts or moves the keys.
 
 Below the 20 bits of the dimension's value the order goes on with hashes of the text, the
 id and the row, so a hot value or a large group of equal texts is cut where the bytes ask
@@ -198,7 +200,7 @@ def placed(docs: DataFrame, n_shards: int, slack: float) -> tuple[DataFrame, int
     level = [Node(0, n_shards, ends["size"] or 0)] if n_shards > 1 and ends["n"] else []
     while level:
         _cuts(keys, level, slack * ends["size"] / n_shards)
-        keys = _go(keys, level)
+        keys = cut(_go(keys, level), "shard-level")
         sides = [
             s for n in level
             for s in (Node(n.first, n.leaves // 2, n.below), Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2, n.weight - n.below))
