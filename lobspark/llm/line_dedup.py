@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import SPACES, bind, words
+from lobspark.llm.common import SPACES, bind, cut as cut_table, words
 
 SPREAD = 31
 #: Words of an anchor.
@@ -212,7 +212,8 @@ def dedup(docs: DataFrame, *, every: int = 3, long_words: int = 50, passage_word
         both_told = told.select("__id", "__k", "__told", F.lit(None).cast("array<struct<a:int,b:int,one:boolean>>").alias("__runs"))
         both_told = both_told.unionByName(named(runs).select("__id", "__k", F.lit(None).cast("array<int>").alias("__told"), "__runs"))
         told = both_told.groupBy("__id", "__k").agg(F.first("__told", True).alias("__told"), F.first("__runs", True).alias("__runs"))
-        told = told.withColumn("__name", F.xxhash64("__id", "__k"))
+        # read six times below; as a table it is planned once, and plans stay small on the driver
+        told = cut_table(told.withColumn("__name", F.xxhash64("__id", "__k")), "line-dedup-told")
     seen = shared(texts.join(told, met(told)), ["__told", "__runs"] if n else ["__told"])
 
     # 2. chunks by their bytes and whole runs by 128 bits meet the first place of each

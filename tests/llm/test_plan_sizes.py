@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lobspark.llm import sharding
+from lobspark.llm import line_dedup, sharding
 
 
 def plan(df):
@@ -14,3 +14,8 @@ def test_shards_of_many_levels_have_a_plan_without_joins(spark):
     keys, n = sharding.placed(docs, 24, 0.001)
     assert n == 200 and keys.select("node").distinct().count() == 24
     assert "Join" not in plan(keys)
+
+
+def test_line_dedup_plans_what_it_was_told_once(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e"), (2, "a b c\nd e")], "doc_id long, text string")
+    assert plan(line_dedup.dedup(docs, passage_words=50)).count("Generate ") <= 10
