@@ -166,7 +166,9 @@ def level_age(spark: SparkSession, d: str) -> DataFrame:
     gone = c.groupBy(*book.KEYS).agg(F.sum("drop").alias("removed"))
     left = book.fifo_left(adds, gone).where("left > 0")
     age = F.greatest(F.lit(0), 11_000 - F.col("day"))
-    return left.groupBy("symbol", "is_bid").agg(F.round(F.sum(F.col("left") * age) / F.sum("left"), 6).alias("age_days"), F.sum("left").alias("queued"))
+    mean = F.sum(F.col("left") * age) / F.sum("left")
+    # The SQL's round is of the product, so a half in decimals (41 / 640) can go down; Spark's, of the decimals, takes it up.
+    return left.groupBy("symbol", "is_bid").agg((F.round(mean * 1e6) / 1e6).alias("age_days"), F.sum("left").alias("queued"))
 
 
 def trade_attribution(spark: SparkSession, d: str) -> DataFrame:

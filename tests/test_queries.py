@@ -35,3 +35,13 @@ def test_same_as_sql(spark, db, name):
 
 def test_every_query_has_sql_but_the_kernel():
     assert set(queries.QUERIES) - set(oracle.ORACLE) == {"kernel_replay"}
+
+
+def test_level_age_of_a_half(spark, tmp_path):
+    """41 of 640 queued are a day old: 0.0640625 ends in a half, which the SQL's round takes down."""
+    c = duckdb.connect()
+    c.execute("create table lineitem as select i as l_orderkey, i as l_partkey, 0::bigint as l_suppkey, 1 as l_linenumber, size::double as l_quantity, 'N' as l_returnflag, 'F' as l_linestatus, timestamp '1970-01-01' + day * interval 1 day as l_shipdate from (values (1, 599, 11000), (2, 41, 10999)) t(i, size, day)")
+    c.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    want = rows(c.execute(oracle.ORACLE["level_age"]).df())
+    assert want[1] == [("0.064062", "True", "640.0", "S0")]
+    assert rows(queries.QUERIES["level_age"](spark, str(tmp_path)).toPandas()) == want
